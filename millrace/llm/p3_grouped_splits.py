@@ -50,7 +50,7 @@ def file_key(path: Column) -> Column:
 
 def dataset_key(name: Column) -> Column:
     """The spelling of a dataset that counts: no address, escapes, revision, closing slash or case; - and _ stay apart."""
-    p = F.trim(F.regexp_replace(name, r"[\s ​﻿]+", " "))
+    p = F.trim(F.regexp_replace(name, r"[\s\u00A0\u200B\uFEFF]+", " "))
     p = F.lower(F.coalesce(F.try_url_decode(F.regexp_replace(p, r"\+", "%2B")), p))
     p = F.regexp_replace(p, r"^[a-z][a-z0-9+.-]*://(?:[^/]*\.[^/]*/)?", "")
     p = F.regexp_replace(F.regexp_replace(p, r"^/*(?:datasets/)?", ""), r"[@?#].*$", "")
