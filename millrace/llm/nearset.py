@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.asread import read_words
+from millrace.session import cut
 
 MIN_WORDS = 5
 #: Least similarity, in tenths, so that all comparisons are of whole numbers.
@@ -61,42 +62,54 @@ def sketch(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sid.view(np.int64), bitmap.view(np.int64), short
 
 
-def word_sets(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """`keep` columns, sid, n (distinct words), bm (bitmap), words; rows whose text is null or has under MIN_WORDS words are left out."""
+def word_sets(df: DataFrame, text: str, *keep: str, order: bool = False, every: bool = False) -> DataFrame:
+    """`keep` columns, sid, n (distinct words), bm (bitmap), words, and with `order` seq (all words in order).
+
+    Rows whose text is null or has under MIN_WORDS distinct words are left out, or with `every` kept with nulls.
+    """
     kinds = dict(df.dtypes)
     src = df.select(*keep, F.col(text).alias("_text"))
-    types = [pa.field(f.name, _arrow(kinds[k])) for f, k in zip(src.schema.fields, keep, strict=False)]
-    schema = pa.schema([*types, ("sid", pa.int64()), ("n", pa.int32()), ("bm", pa.int64()), ("words", pa.list_(pa.int32()))])
+    kept = len(keep)
+    names = [*keep, "sid", "n", "bm", "words", *["seq"] * order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for b in batches:
-            rows, sets = [], []
-            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                w = set(read_words(t))
-                if len(w) >= MIN_WORDS:
+            rows, place, sets, seqs = [], [], [], []
+            for i, t in enumerate(b.column(kept).to_pylist()):
+                w = read_words(t)
+                each = set(w)
+                if len(each) >= MIN_WORDS:
+                    rows.append(i)
+                    place.append(len(sets))
+                    sets.append({ids[x] for x in each})
+                    if order:
+                        seqs.append([ids[x] for x in w])
+                elif every:
                     rows.append(i)
-                    sets.append({ids[x] for x in w})
-            if rows:
+                    place.append(None)
+            if not rows:
+                continue
+            if sets:
                 flat, starts = flat_sets(sets)
                 sid, bm, short = sketch(flat, starts)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).take(at).cast(t.type) for k, t in enumerate(types)), pa.array(sid), pa.array(np.diff(starts).astype(np.int32)), pa.array(bm), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(short))],
-                    schema=schema,
-                )
-
-    ddl = ", ".join([*(f"{f.name} {kinds[f.name]}" for f in types), "sid long, n int, bm long, words array<int>"])
+            else:
+                starts, sid, bm, short = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            made = [pa.array(sid), pa.array(np.diff(starts).astype(np.int32)), pa.array(bm), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(short))]
+            if order:
+                all_words, ends = flat_sets(seqs) if seqs else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+                made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((all_words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))))
+            if every:
+                made = [x.take(pa.array(place, pa.int64())) for x in made]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(rows)) for k in range(kept)), *made], names=names)
+
+    ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "sid long, n int, bm long, words array<int>", *["seq array<int>"] * order])
     return src.mapInArrow(run, ddl)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[kind]
-
-
-def classes(sets: DataFrame) -> DataFrame:
-    """One row for each class (sid, n, bm, words): the word sets without their copies."""
-    return sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bm", "words")))
+def classes(sets: DataFrame, *also: str) -> DataFrame:
+    """One row for each class (sid, n, bm, words, `also`): the word sets without their copies."""
+    return sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bm", "words", *also)))
 
 
 def close(a: str = "a", b: str = "b"):
@@ -121,11 +134,21 @@ def pairs_in_keys(rows: DataFrame) -> DataFrame:
     return a.hint("merge").join(b, on).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
 
 
+#: Rows of two numbers that may be broadcast: some 10 MB.
+SMALL = 300_000
+
+
+def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of `df` whose `on` is among `keys` (distinct, computed already): by broadcast if they are counted to be few, else by a shuffle."""
+    return df.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, on, "left_semi")
+
+
 def with_words(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sets wa and wb."""
-    one = sets.select(F.col("sid").alias("a"), F.col("words").alias("wa"))
-    other = sets.select(F.col("sid").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(one, "a").join(other, "b")
+    """Pairs (a, b) with the sets wa and wb; only the sets of these pairs are moved."""
+    pairs = cut(pairs)
+    ends = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    words = semi(sets.select("sid", "words"), ends, "sid")
+    return pairs.join(words.select(F.col("sid").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("sid").alias("b"), F.col("words").alias("wb")), "b")
 
 
 def alike(pairs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm import nearset as ns
 
 SHARE = 0.001
-ROWS, BANDS = 5, 20
+ROWS, BANDS = 5, 18
 #: Weighted Jaccard similarity that a candidate needs before the exact test; no pair of word similarity 0.8 measured was below 0.6.
 WEIGHTED = 0.4
 
@@ -107,6 +107,6 @@ def near_links(sets: DataFrame, share: float = SHARE, rows: int = ROWS, bands: i
 def near_pairs(records: DataFrame, key: str = "task_id", text: str = "text") -> DataFrame:
     """All pairs of records (key_a < key_b) whose texts are nearly the same."""
     sets = ns.word_sets(records, text, key)
-    return_members = sets.select(key, "sid").distinct()
+    members = sets.select(key, "sid").distinct()
     unique = ns.classes(sets).persist(StorageLevel.MEMORY_AND_DISK)
-    return ns.record_pairs(near_links(unique), return_members, key)
+    return ns.record_pairs(near_links(unique), members, key)
