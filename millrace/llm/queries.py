@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import nearset as ns
+from millrace.llm import p2_incremental as p2
 from millrace.llm import p3_grouped_splits as p3
 from millrace.llm import p4_near_duplicates as p4
 from millrace.session import cut, table
@@ -19,6 +20,20 @@ def _instructions(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(table(spark, d, SEEDS).select("task_id", F.col("instruction").alias("text")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records of both tables that aren't accepted, all batches replayed in order."""
+    pairs = p2.edit_rejected(table(spark, d, PAIRS), table(spark, d, "source_catalog"))
+    return pairs.unionByName(p2.pool_rejected(table(spark, d, POOL))).distinct()
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Records, and records not accepted, of each table and batch."""
+    rows = table(spark, d, PAIRS).select(F.lit("pairs").alias("source_table"), F.col("sample_id").alias("record_id"), "batch_number")
+    rows = rows.unionByName(table(spark, d, POOL).select(F.lit("pool").alias("source_table"), F.col("image_id").alias("record_id"), "batch_number"))
+    no = p2_found(spark, d).withColumn("no", F.lit(1))
+    return rows.distinct().join(no, "record_id", "left").groupBy("source_table", "batch_number").agg(F.count(F.lit(1)).alias("records"), F.sum(F.coalesce("no", F.lit(0))).alias("rejected"))
+
+
 def _related(spark: SparkSession, d: str) -> DataFrame:
     return p3.groups(cut(p3.related(table(spark, d, SEEDS), table(spark, d, PAIRS), table(spark, d, "source_catalog"))))
 
@@ -59,7 +74,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
