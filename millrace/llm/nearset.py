@@ -143,12 +143,14 @@ def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, on, "left_semi")
 
 
-def with_words(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sets wa and wb; only the sets of these pairs are moved."""
+def with_words(pairs: DataFrame, sets: DataFrame, *also: str) -> DataFrame:
+    """Pairs (a, b) with the sets wa and wb, and with `seq` qa and qb; only the sets of these pairs are moved."""
     pairs = cut(pairs)
     ends = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
-    words = semi(sets.select("sid", "words"), ends, "sid")
-    return pairs.join(words.select(F.col("sid").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("sid").alias("b"), F.col("words").alias("wb")), "b")
+    words = semi(sets.select("sid", "words", *also), ends, "sid")
+    for end in ("a", "b"):
+        pairs = pairs.join(words.select(F.col("sid").alias(end), F.col("words").alias(f"w{end}"), *(F.col(c).alias(f"q{end}") for c in also)), end)
+    return pairs
 
 
 def alike(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import nearset as ns
+from millrace.llm import p1_cross_split as p1
 from millrace.llm import p2_incremental as p2
 from millrace.llm import p3_grouped_splits as p3
 from millrace.llm import p4_near_duplicates as p4
@@ -20,6 +21,21 @@ def _instructions(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(table(spark, d, SEEDS).select("task_id", F.col("instruction").alias("text")))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training and an evaluation record with nearly the same instruction or target."""
+    return p1.found(table(spark, d, SEEDS))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-split pairs by evaluation split and source."""
+    return p1.report(table(spark, d, SEEDS))
+
+
+def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each evaluation text lies in chunks that training texts have."""
+    return p1.record_overlap(table(spark, d, SEEDS))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of both tables that aren't accepted, all batches replayed in order."""
     pairs = p2.edit_rejected(table(spark, d, PAIRS), table(spark, d, "source_catalog"))
@@ -74,7 +90,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
