@@ -99,7 +99,9 @@ def weighted_similarity(pairs: DataFrame, n: int, df: dict[int, int], share: flo
 def near_links(sets: DataFrame, share: float = SHARE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Pairs (a, b) of classes whose word sets are nearly equal, with `both` and `wsim`; sets: classes()."""
     n, df = ns.frequent_words(sets, share)
-    found = ns.pairs_in_keys(ns.shared_keys(band_keys(sets, n, df, share, rows, bands)))
+    # kept, as both sides of the join are this one table, already partitioned and sorted by key
+    shared = ns.shared_keys(band_keys(sets, n, df, share, rows, bands)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = ns.pairs_in_keys(shared)
     checked = weighted_similarity(ns.with_words(found, sets).select("a", "b", "wa", "wb"), n, df, share).filter(F.col("wsim") >= WEIGHTED)
     return ns.alike(checked).select("a", "b", "both", "wsim")
 
