@@ -11,6 +11,8 @@ from millrace.llm import p1_cross_split as p1
 from millrace.llm import p2_incremental as p2
 from millrace.llm import p3_grouped_splits as p3
 from millrace.llm import p4_near_duplicates as p4
+from millrace.llm import p5_encoding as p5
+from millrace.llm import p6_leakage as p6
 from millrace.session import cut, table
 
 SEEDS, TASKS, PAIRS, POOL = "real_seed_prompts_v2_seed", "tasks_v1_refined_pilot3", "real_edit_pairs_rejected_v2_hf150", "wikimedia_source_pool_v2_seed"
@@ -89,8 +91,27 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return members.join(per.join(heads, "root"), "sid").select("task_id", "group_id", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("links"))
 
 
+def p5_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each document's text by byte_bpe_50k, without special tokens."""
+    return p5.encode(table(spark, d, "documents"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return p6.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_text_index"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of a held-out item, with the item."""
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Of each leaked item the number of documents it leaked into, and the longest passage."""
+    return _leaks(spark, d).groupBy("item_id", "item_words").agg(F.countDistinct("doc_id").alias("documents"), F.max("span").alias("longest"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items}
 
 
 def oracle_sql() -> dict[str, str]:
