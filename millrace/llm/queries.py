@@ -13,6 +13,7 @@ from millrace.llm import p3_grouped_splits as p3
 from millrace.llm import p4_near_duplicates as p4
 from millrace.llm import p5_encoding as p5
 from millrace.llm import p6_leakage as p6
+from millrace.llm import p7_quality as p7
 from millrace.session import cut, table
 
 SEEDS, TASKS, PAIRS, POOL = "real_seed_prompts_v2_seed", "tasks_v1_refined_pilot3", "real_edit_pairs_rejected_v2_hf150", "wikimedia_source_pool_v2_seed"
@@ -110,8 +111,18 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id", "item_words").agg(F.countDistinct("doc_id").alias("documents"), F.max("span").alias("longest"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that aren't natural prose."""
+    return p7.quality(table(spark, d, "documents")).filter("reason is not null").select("doc_id")
+
+
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The text statistics of each document, and why it isn't prose."""
+    return p7.quality(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_statistics": p7_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
