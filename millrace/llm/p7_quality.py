@@ -96,7 +96,7 @@ def describe(texts: pa.Array) -> dict[str, np.ndarray]:
     nw, nc, wl = np.bincount(at, minlength=m), np.bincount(at, common, m), np.bincount(at, length, m)
     cjk, symbols, broken = _count(lines, CJK), _count(lines, SYMBOL), _count(lines, BROKEN)
     ends, bullet = _has(lines, ENDS), _has(lines, LIST)
-    share = nc / np.maximum(nw, 1)
+    share = nc / np.maximum(nw - cjk, 1)
     chinese = cjk * 2 > wl
     spoken = (share >= COMMON_SHARE) | chinese & _has(lines, "[。！？]") | chinese & (size >= 2 * (1 + _count(lines, "[，、,;；|/· »]")) * 6) & (size > 15)
     # lines that read as prose aren't cells, whatever their commas
