@@ -44,7 +44,7 @@ def slug(text: Column, most: int = 80) -> Column:
 
 def strip_tags(text: Column) -> Column:
     """Tags become spaces, runs of white space one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"[\s\p{Z}]+", " "))
 
 
 def shorten(text: Column, most: int) -> Column:

@@ -119,7 +119,7 @@ def merged(tasks: DataFrame, refined: DataFrame, rejected: DataFrame, keep: bool
     """
     last = refined.filter("ok and refined is not null").groupBy("task_id").agg(F.max_by("refined", "seq").alias("_r")).join(rejected, "task_id", "left_anti")
     out = tasks.join(last, "task_id", "left" if keep else "inner")
-    return out.withColumn("instruction", F.coalesce("_r.instruction", "instruction")).withColumn("was_refined", F.col("_r").isNotNull()).drop("_r")
+    return out.withColumn("instruction", F.when(F.col("_r").isNotNull(), F.col("_r.instruction")).otherwise(F.col("instruction"))).withColumn("was_refined", F.col("_r").isNotNull()).drop("_r")
 
 
 #: Of each source schema where its texts and images are: instruction candidates in order, source and target image.
