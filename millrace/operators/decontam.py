@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.session import spread
 
 THRESHOLD = 0.82
 SMALL = 500_000
@@ -45,7 +46,7 @@ def exact_flags(df: DataFrame, text: str, items: DataFrame) -> DataFrame:
 
 def grams(df: DataFrame, key: str, norm: Column, n: int = 5) -> DataFrame:
     """(key, size, gram): a row for each distinct n-gram of each text."""
-    return df.select(key, norm.alias("_n")).filter("_n <> ''").mapInArrow(_gram_rows(n), f"{key} {dict(df.dtypes)[key]}, size int, gram string")
+    return spread(df.select(key, norm.alias("_n")).filter("_n <> ''")).mapInArrow(_gram_rows(n), f"{key} {dict(df.dtypes)[key]}, size int, gram string")
 
 
 def _gram_rows(n: int):

@@ -51,20 +51,26 @@ def refined_errors(r: Column, held: Column | None = None, objects: Column | None
     )
     gates = [when(F.size(r["risk_flags"]) > 0, F.concat(F.lit("model_flagged:"), F.array_join(r["risk_flags"], ",")))]
     names = dict(zip(REQUIRED, ["instruction", "editor_prompt", "rational", "reasoning"], strict=True))
-    norms = {short: T.normalize(r[c]) for c, short in names.items()}
-    for i, (name, t) in enumerate(norms.items()):
-        gates.append(when(F.size(F.split(t, " ")) < 4, f"too_short:{name}"))
-        gates += [when(F.contains(t, F.lit(term)), f"forbidden_term:{name}") for term in FORBIDDEN]
-        gates += [when(F.contains(t, F.lit(p)), f"glue_retained:{name}") for p in GLUE]
-        if held is not None:
-            gates.append(when(held[i], f"benchmark_text_match:{name}"))
-    gates.append(when(norms["editor_prompt"] == norms["instruction"], "editor_prompt_echoes_instruction"))
+    # each text is normalized once, as the variable of a lambda
+    parts = F.array(*(F.struct(F.lit(short).alias("name"), T.normalize(r[c]).alias("text"), (held[i] if held is not None else F.lit(False)).alias("held")) for i, (c, short) in enumerate(names.items())))
+
+    def of(x: Column) -> Column:
+        t, name = x["text"], lambda kind: F.concat(F.lit(f"{kind}:"), x["name"])
+        return reasons(
+            when(F.size(F.split(t, " ")) < 4, name("too_short")),
+            *(when(F.contains(t, F.lit(term)), name("forbidden_term")) for term in FORBIDDEN),
+            *(when(F.contains(t, F.lit(p)), name("glue_retained")) for p in GLUE),
+            when(x["held"], name("benchmark_text_match")),
+        )
+
+    gates.append(F.flatten(F.transform(parts, of)))
+    gates.append(when(T.normalize(r["editor_prompt"]) == T.normalize(r["instruction"]), "editor_prompt_echoes_instruction"))
     gates.append(when(F.exists(r["edit_operations"], lambda o: o["target"].eqNullSafe(o["region_hint"]) & o["region_hint"].eqNullSafe(o["change"])), "edit_op_still_boilerplate"))
     count = F.aggregate(F.map_values(r["atomic_checklist"]), F.lit(0), lambda n, q: n + F.greatest(F.coalesce(F.size(q), F.lit(0)), F.lit(0)))
     gates.append(when((count < 3) | (count > 8), F.concat(F.lit("checklist_count:"), count.cast("string"))))
     if objects is not None:
         tokens = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(objects, lambda o: F.split(T.normalize(o), " "))), lambda w: F.length(w) > 3)))
-        seen = F.concat_ws(" ", *norms.values())
+        seen = F.array_join(F.transform(parts, lambda x: x["text"]), " ")
         gates.append(when((F.size(tokens) > 0) & ~F.exists(tokens, lambda w: F.contains(seen, w)), F.concat(F.lit("anchor_object_missing:"), F.array_join(F.slice(tokens, 1, 3), ","))))
     return F.when(F.size(missing) > 0, missing).otherwise(reasons(*gates))
 

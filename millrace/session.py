@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores, for costly work on each row; tables of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cores: int | None = None, memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
