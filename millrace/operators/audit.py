@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.decontam import grams
+from millrace.session import spread
 
 #: Phrases that glue instructions together, as patterns on normalized text, and checklist questions that fit anything.
 GLUE = [
@@ -44,7 +45,7 @@ def distribution(df: DataFrame, columns: list[str], label: str = "?") -> DataFra
 def top_grams(df: DataFrame, key: str, text: str, n: int = 8, k: int = 25, least: int = 20) -> DataFrame:
     """(gram, documents): the k n-grams found in most documents, of those in at least max(least, rows // 100); ties by gram."""
     rows = df.count()
-    norm = df.select(key, T.normalize(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    norm = spread(df.select(key, text)).select(key, T.normalize(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     long = norm.filter(F.size(F.split("_t", " ")) >= n)  # shorter texts have no n-gram here
     counts = grams(long, key, F.col("_t"), n).groupBy("gram").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= max(least, rows // 100))
     return counts.orderBy(F.desc("documents"), "gram").limit(k)

@@ -46,7 +46,7 @@ def exact_flags(df: DataFrame, text: str, items: DataFrame) -> DataFrame:
 
 def grams(df: DataFrame, key: str, norm: Column, n: int = 5) -> DataFrame:
     """(key, size, gram): a row for each distinct n-gram of each text."""
-    return spread(df.select(key, norm.alias("_n")).filter("_n <> ''")).mapInArrow(_gram_rows(n), f"{key} {dict(df.dtypes)[key]}, size int, gram string")
+    return df.select(key, norm.alias("_n")).filter("_n <> ''").mapInArrow(_gram_rows(n), f"{key} {dict(df.dtypes)[key]}, size int, gram string")
 
 
 def _gram_rows(n: int):
@@ -73,6 +73,7 @@ def overlaps(df: DataFrame, key: str, text: str, items: DataFrame, n: int = 5) -
     The texts' own fingerprints leave the join at once unless an item has them.
     """
     held = fingerprints(items)
+    df = spread(df.select(key, text))
     left = grams(df.select(key, T.normalize(F.coalesce(F.col(text), F.lit(""))).alias("_t")), key, F.col("_t"), n).withColumnRenamed("size", "size_text")
     right = small(grams(held, "item_id", F.col("norm"), n).withColumnRenamed("size", "size_item"))
     shared = left.join(right, "gram").groupBy(key, "item_id", "size_text", "size_item").agg(F.count(F.lit(1)).alias("both"))
@@ -142,7 +143,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, tenths: int =
     Copies of a text are one in the search. Each text is found by its rarest grams alone, as many as must hold one
     that both have (prefix filter), in an order that all share; so common phrases produce no pairs, and none is lost.
     """
-    keyed = df.select(key, T.normalize(F.coalesce(F.col(text), F.lit(""))).alias("_t")).filter("_t <> ''")
+    keyed = spread(df.select(key, text)).select(key, T.normalize(F.coalesce(F.col(text), F.lit(""))).alias("_t")).filter("_t <> ''")
     one = keyed.select("_t").distinct().withColumn("tid", F.xxhash64("_t"))
     each = grams(one.select("tid", "_t"), "tid", F.col("_t"), n)
     df_counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))

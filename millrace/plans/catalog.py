@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import reward as R
 from millrace.functions import text as T
 from millrace.operators import audit, convert, decontam, dedup, gates, neighbors, sampling, solvers, validate
-from millrace.session import table
+from millrace.session import spread, table
 
 SEEDS, TASKS, PAIRS, POOL = "real_seed_prompts_v2_seed", "tasks_v1_refined_pilot3", "real_edit_pairs_rejected_v2_hf150", "wikimedia_source_pool_v2_seed"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,7 +161,8 @@ done as (select sample_id, q.ingested_at, case when nokey then ['missing_key_fie
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
     """Edit pairs with all their reasons; a pair is a duplicate only of one that passed."""
-    p = table(spark, d, PAIRS)
+    used = ("sample_id", "batch_number", "ingested_at", "instruction", "edit_type", "leakage_tags", "quality_tags", "source_image", "target_image", "license", "split")
+    p = spread(table(spark, d, PAIRS).select(*used))
     keys = dict(zip(("k1", "k2", "k3"), dedup.pair_key(F.col("source_image.sha256"), F.col("target_image.sha256"), F.col("instruction")), strict=True))
     p = p.withColumns(keys).withColumn("_other", gates.pair_reasons(F.lit(False), [F.col(k) for k in keys]))
     order = [F.col(c) for c in ("batch_number", "sample_id", "ingested_at")]
