@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.asread import read_words
-from millrace.session import cut
+from millrace.session import cut, spread
 
 MIN_WORDS = 5
 #: Least similarity, in tenths, so that all comparisons are of whole numbers.
@@ -68,7 +68,7 @@ def word_sets(df: DataFrame, text: str, *keep: str, order: bool = False, every:
     Rows whose text is null or has under MIN_WORDS distinct words are left out, or with `every` kept with nulls.
     """
     kinds = dict(df.dtypes)
-    src = df.select(*keep, F.col(text).alias("_text"))
+    src = spread(df.select(*keep, F.col(text).alias("_text")))
     kept = len(keep)
     names = [*keep, "sid", "n", "bm", "words", *["seq"] * order]
 

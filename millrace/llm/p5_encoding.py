@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.nearset import mix
+from millrace.session import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern of byte_bpe_50k, in which white space is that of Unicode.
@@ -166,4 +167,4 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[key, "ids"])
 
     pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
-    return df.select(key, pieces.alias("pieces")).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(df.select(key, text)).select(key, pieces.alias("pieces")).mapInArrow(run, f"{key} {kind}, ids array<int>")

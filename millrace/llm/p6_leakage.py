@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.asread import read_words
 from millrace.llm.nearset import WordIds, mix
+from millrace.session import spread
 
 K, WINDOW, MIN_ITEM = 3, 2, 8
 #: Share of the item that a passage must span (a little under a half, as a changed word at its end isn't seen), and words of it for each changed one.
@@ -188,7 +189,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
                     c = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int64()), *(pa.array(x, pa.int32()) for x in c[2:])], names=[doc, "item_id", "span", "item_words", "changed"])
 
-        return documents.select(doc, text).mapInArrow(run, schema)
+        return spread(documents.select(doc, text)).mapInArrow(run, schema)
 
     for r in held.toLocalIterator():
         rows.append((r["item_id"], r["text"]))

@@ -25,6 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from millrace.session import spread
+
 #: Common words, by language.
 COMMON = """
 the of and to a in is it for that was on are as with at be this by have from or had not but what all were when your can said there use an each which do how
@@ -169,4 +171,4 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(0), *made, pa.array(reasons(s).tolist(), pa.string())], names=[key, *COLUMNS, "reason"])
 
     ddl = ", ".join([f"{key} {kind}", *(f"{c} {t}" for c, t in COLUMNS.items()), "reason string"])
-    return df.select(key, text).mapInArrow(run, ddl)
+    return spread(df.select(key, text)).mapInArrow(run, ddl)
