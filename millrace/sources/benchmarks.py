@@ -29,7 +29,7 @@ def readme_items(lines: DataFrame) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of one text file, from 0."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 
 def records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -31,9 +32,7 @@ def data_url(content: Column, kind: str = "png") -> Column:
     return F.concat(F.lit(f"data:image/{kind};base64,"), F.base64(content))
 
 
-@F.pandas_udf("string")
-def average_hash(gray: pd.Series) -> pd.Series:
-    """The 64-bit hash of 8 x 8 gray values: a bit for each that is at least their mean; null for any other number of values."""
+def _average_hashes(gray: pd.Series) -> pd.Series:
     def one(p) -> str | None:
         if p is None or len(p) != 64:
             return None
@@ -43,6 +42,11 @@ def average_hash(gray: pd.Series) -> pd.Series:
     return gray.map(one)
 
 
+def average_hash(gray: Column) -> Column:
+    """The 64-bit hash of 8 x 8 gray values: a bit for each that is at least their mean; null for any other number of values."""
+    return F.pandas_udf(_average_hashes, S.StringType())(gray)
+
+
 def pixel_diff(a: Column, b: Column) -> Column:
     """How many values of two equally long arrays differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda s, x: s + x)

@@ -32,6 +32,7 @@ def read_tolerant(spark: SparkSession, path: str | list[str], schema: str | S.St
 def read_validated(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The rows that parse, and (file, line) of those that don't."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    rows = rows.persist()  # Spark reads what didn't parse only from rows that are kept
     bad = rows.filter("_corrupt_record is not null").select(F.col("_file").alias("file"), F.col("_corrupt_record").alias("line"))
     return rows.filter("_corrupt_record is null").drop("_corrupt_record", "_file"), bad
 
