@@ -42,11 +42,15 @@ nadie sabe tras hemos vez tiene había pocas está solo debía aunque parece ten
 """.split()
 
 LIST = r"^(?:[-*+•‣▪●◦·–—]|[0-9]{1,4}[.):]|\([0-9]{1,4}\)|\([a-zA-Z]\)|#[0-9]{1,4}|[A-Z]{1,2}[0-9]{1,4}[ .:)]|\[[ xX✓✗]?\]|[☐☑☒✓✔✗✘]|[a-zA-Z][.)])\s+\S"
-TABLE = (
-    r"^\|.*\|$|</?(?:td|tr|th|table|tbody|thead)\b[^>]*>|^[\[{].*[}\]],?$|^[+|=-]{4,}$|^(?:[\p{L}\p{N}_.-]{1,30}=\S*[ ,;&]*.{0,24}?){3,}$|\t.*\t|^[^.!?\t]*\S\t\S[^.!?\t]*$"
-    r"|^[^;]*;[^; ][^;]*;|^(?:[^;]{0,30};){2,}[^;]{0,30}$|;;|^(?:[^,]{0,30},[^, ]?){2,}[^,]{0,30}$|,,|[^\s.!?]\s{3,}\S|^\S.{0,40}\s{3,}\S"
-)
-CELLS = r"^(?:[^,]{0,30},){2,}[^,. ][^,]{0,30}"
+HARD = r"^\|.*\|$|</?(?:td|tr|th|table|tbody|thead)\b|^[\[{].*[}\]],?$|^[+|=-]{4,}$"
+#: What makes a line a row of cells, by the separator that it must have.
+TABLE = {
+    "=": r"^(?:.*?[\p{L}\p{N}_.-]=\S){3}",
+    "\t": r"\t.*\t|^[^.!?\t]*\S\t\S[^.!?\t]*$",
+    ";": r"^[^;]*;[^; ][^;]*;|^(?:[^;]{0,30};){2,}[^;]{0,30}$|;;",
+    ",": r"^(?:[^,]{0,30},[^, ]?){2,}[^,]{0,30}$|,,|^(?:[^,]{0,30},){2,}[^,. ][^,]{0,30}",
+    "   ": r"[^\s.!?]\s{3,}\S|^\S.{0,40}\s{3,}\S",
+}
 PAIR = r"^[\p{L}\p{N}_ '’.-]{1,30}\s?[:=]\s?\S.{0,34}$"
 LOG = r"^\[?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}|\[(?:INFO|WARN|WARNING|ERR|ERROR|DEBUG|TRACE|FATAL)\]|\b0x[0-9a-f]{6,}\b"
 SYMBOL = r"[^\p{L}\p{N}\p{M}\s.,;:!?'\"()\-–—…。，、；：！？（）“”‘’«»„¿¡%&]"
@@ -66,6 +70,14 @@ def _has(a: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(a, pattern).to_numpy(zero_copy_only=False)
 
 
+def _has_with(a: pa.Array, mark: str, pattern: str) -> np.ndarray:
+    """Which values match; only those that hold `mark` are tried."""
+    out = pc.match_substring(a, mark).to_numpy(zero_copy_only=False).copy()
+    at = np.flatnonzero(out)
+    out[at] = _has(a.take(pa.array(at)), pattern)
+    return out
+
+
 def _lists(a: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The flat values of a list array, and the row of each."""
     return a.flatten(), pc.list_parent_indices(a).to_numpy(zero_copy_only=False)
@@ -100,12 +112,17 @@ def describe(texts: pa.Array) -> dict[str, np.ndarray]:
     ends, bullet = _has(lines, ENDS), _has(lines, LIST)
     share = nc / np.maximum(nw - cjk, 1)
     chinese = cjk * 2 > wl
-    spoken = (share >= COMMON_SHARE) | chinese & _has(lines, "[。！？]") | chinese & (size >= 2 * (1 + _count(lines, "[，、,;；|/· »]")) * 6) & (size > 15)
+    spoken = (share >= COMMON_SHARE) | chinese & _has(lines, "[。！？]") | _long_chinese(lines, chinese & (size > 15), size)
+    short = np.flatnonzero((nw <= 6) & (size <= 70))
     # lines that read as prose aren't cells, whatever their commas
-    cells = _has(tabbed, TABLE) | _has(lines, CELLS)
-    hard = _has(tabbed, r"^\|.*\|$|</?(?:td|tr|th|table)\b|^[\[{].*[}\]],?$")
+    cells = np.zeros(m, bool)
+    for mark, pattern in TABLE.items():
+        cells |= _has_with(tabbed, mark, pattern)
+    hard = _has(tabbed, HARD)
     table = hard | cells & ~((share >= 2 * COMMON_SHARE) | chinese & _has(lines, "[。！？]"))
-    pair = _has(lines, PAIR) & ~ends & (nw <= 6)
+    pair = np.zeros(m, bool)
+    pair[short] = _has(lines.take(pa.array(short)), PAIR)
+    pair &= ~ends
     junk = _has(lines, LOG) | (symbols > SYMBOLS * size) | (wl > LONG_WORD * np.maximum(nw, 1)) & ~chinese & (size > 20)
     kind = np.select([table, junk, bullet | pair, ~spoken & (nw <= 6 + 2 * chinese), ~spoken], [2, 3, 1, 1, 3], 0)
     # a title or the short end of a wrapped paragraph is neither: it counts as the text around it
@@ -134,6 +151,13 @@ def describe(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def _long_chinese(lines: pa.Array, some: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Chinese lines whose parts between separators are long."""
+    out, at = np.zeros(len(size), bool), np.flatnonzero(some)
+    out[at] = size[at] >= 12 * (1 + _count(lines.take(pa.array(at)), "[，、,;；|/· »]"))
+    return out
+
+
 def _alone(row: np.ndarray, kind: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """Lines with no other short or marked line beside them in their document."""
     like = (kind == 1) & ~marked
