@@ -24,10 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once, with its lineage cut by files in the shared folder, so that it outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
+    """`df`, computed once, with its lineage cut by files in the shared folder, so that it outlives any executor.
+
+    A checkpoint keeps the estimated size of its plan. Where tables of one round are joined into those of the next, these
+    estimates multiply until planning takes all memory; `fresh` forgets them, and AQE goes by the sizes it meets.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    if fresh:
+        j = out._jdf
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False), spark)
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
