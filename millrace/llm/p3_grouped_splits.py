@@ -81,7 +81,7 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     edges; the rest of the edges shrinks at least by half. Round tables are cut
     by checkpoints in the shared folder.
     """
-    left = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), fresh=True)
     alone = edges.filter("a = b").select(F.col("a").alias("v")).distinct()
     rounds: list[DataFrame] = []
     while not left.isEmpty():
@@ -90,10 +90,10 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
         for _ in range(jumps):
             to = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             up = up.join(to, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-        up = cut(up)
+        up = cut(up, fresh=True)
         rounds.append(up)
         ends = left.join(up.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        left = cut(ends.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        left = cut(ends.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), fresh=True)
     out = None
     for up in rounds:
         step = up.select(F.col("v").alias("root"), F.col("p").alias("_up"))
