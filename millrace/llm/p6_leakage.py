@@ -129,6 +129,22 @@ def _runs(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) -> list
     return out
 
 
+def _beyond(item: list[int], doc: list[int], i: int, d: int, step: int) -> tuple[int, int, int]:
+    """Words of the item, words of the document and changes from (i, d) on, one way, while K equal words follow a change."""
+    si = sd = edits = 0
+    while True:
+        for gi, gd in ((1, 1), (1, 0), (0, 1)):
+            ii = range(i + step * (si + gi), i + step * (si + gi + K), step)
+            dd = range(d + step * (sd + gd), d + step * (sd + gd + K), step)
+            if min(*ii, *dd) >= 0 and max(ii) < len(item) and max(dd) < len(doc) and all(item[x] == doc[y] for x, y in zip(ii, dd, strict=True)):
+                si, sd, edits = si + gi + K, sd + gd + K, edits + 1
+                while 0 <= i + step * si < len(item) and 0 <= d + step * sd < len(doc) and item[i + step * si] == doc[d + step * sd]:
+                    si, sd = si + 1, sd + 1
+                break
+        else:
+            return si, sd, edits
+
+
 def best_span(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) -> tuple[int, int]:
     """The longest stretch of the item that one passage of the document follows, and the words changed in it."""
     runs = sorted(_runs(item, doc, seeds))
@@ -145,9 +161,14 @@ def best_span(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) ->
             if (edits + cost) * CHANGED <= i + n - si + 2 * CHANGED and (v := value + n - over - 3 * cost) > top[0]:
                 top = (v, si, sd, edits + cost)
         chain.append(top)
-        span = i + n - top[1]
-        if top[3] * CHANGED <= max(span, d + n - top[2]) + CHANGED and span > best[0]:
-            best = (span, top[3])
+        _, si, sd, edits = top
+        # the ends of a passage beyond its last changed word may be too short to have a fingerprint
+        left, right = _beyond(item, doc, si - 1, sd - 1, -1), _beyond(item, doc, i + n, d + n, 1)
+        for li, ld, le in {(0, 0, 0), left}:
+            for ri, rd, re_ in {(0, 0, 0), right}:
+                span, passage, all_edits = i + n - si + li + ri, d + n - sd + ld + rd, edits + le + re_
+                if all_edits * CHANGED <= max(span, passage) + CHANGED and span > best[0]:
+                    best = (span, all_edits)
     return best
 
 
@@ -177,7 +198,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
                 docs, its, dp, ip = docs[order], its[order], (at[i] - start[row[at[i]]])[order], index.at[j][order]
                 edge = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (its[1:] != its[:-1])])) if len(docs) else []
                 out = []
-                for s, e in zip(edge, [*edge[1:], len(docs)], strict=True):
+                for s, e in zip(edge, [*edge[1:], len(docs)], strict=False):
                     r, it = int(docs[s]), int(its[s])
                     words = index.words[it]
                     if int(ip[s:e].max()) - int(ip[s:e].min()) + K + 12 < least * len(words):
