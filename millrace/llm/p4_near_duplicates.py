@@ -110,7 +110,7 @@ def near_links(sets: DataFrame, share: float = SHARE, rows: int = ROWS, bands: i
 
 def near_pairs(records: DataFrame, key: str = "task_id", text: str = "text") -> DataFrame:
     """All pairs of records (key_a < key_b) whose texts are nearly the same."""
-    sets = ns.word_sets(records, text, key)
+    sets = ns.word_sets(records, text, key).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and normalized once
     members = sets.select(key, "sid").distinct()
     unique = ns.classes(sets).persist(StorageLevel.MEMORY_AND_DISK)
     return ns.record_pairs(near_links(unique), members, key)

@@ -79,7 +79,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each record with five or more words: the smallest key of its group, and its number of links."""
-    sets = ns.word_sets(_instructions(spark, d), "text", "task_id")
+    sets = ns.word_sets(_instructions(spark, d), "text", "task_id").persist(StorageLevel.MEMORY_AND_DISK)
     unique = ns.classes(sets).persist(StorageLevel.MEMORY_AND_DISK)
     links = cut(p4.near_links(unique).select("a", "b"))
     members = cut(sets.select("task_id", "sid").distinct())
