@@ -34,6 +34,8 @@ K, WINDOW, MIN_ITEM = 3, 2, 8
 #: Share of the item that a passage must span (a little under a half, as a changed word at its end isn't seen), and words of it for each changed one.
 SPAN, CHANGED = 0.47, 8
 BLOCK = 20_000
+#: Words that a passage may go without an equal run.
+GAP = 12
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _BREAK = re.compile(r"\\[nrtbf]")
@@ -87,7 +89,7 @@ class Index:
         self.item = [i for i, _ in texts]
         self.words = [w for _, w in texts]
         flat = np.array([x for w in self.words for x in w], np.uint64)
-        size = np.array([len(w) for w in self.words], np.int64)
+        self.size = size = np.array([len(w) for w in self.words], np.int64)
         row = np.repeat(np.arange(len(texts)), size)
         at, h = winnow(flat, row)
         order = np.argsort(h, kind="stable")
@@ -145,8 +147,12 @@ def _beyond(item: list[int], doc: list[int], i: int, d: int, step: int) -> tuple
             return si, sd, edits
 
 
-def best_span(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) -> tuple[int, int]:
-    """The longest stretch of the item that one passage of the document follows, and the words changed in it."""
+def best_span(item: list[int], doc: list[int], seeds: list[tuple[int, int]], need: float = 0) -> tuple[int, int]:
+    """The longest stretch of the item that one passage of the document follows, and the words changed in it.
+
+    Stretches a little shorter than `need` go on beyond a changed word at their ends, where what follows may be too
+    short to have a fingerprint.
+    """
     runs = sorted(_runs(item, doc, seeds))
     best = (0, 0)
     chain: list[tuple[int, int, int, int]] = []  # value, start in item, start in document, edits
@@ -155,20 +161,22 @@ def best_span(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) ->
         for (pi, pd, pn), (value, si, sd, edits) in zip(runs[:k], chain, strict=False):
             over = max(0, pi + pn - i, pd + pn - d)
             gi, gd = i + over - (pi + pn), d + over - (pd + pn)
-            if over >= n or gi < 0 or gd < 0 or max(gi, gd) > 12:
+            if over >= n or gi < 0 or gd < 0 or max(gi, gd) > GAP:
                 continue
             cost = _edits(item[pi + pn : i + over], doc[pd + pn : d + over])
             if (edits + cost) * CHANGED <= i + n - si + 2 * CHANGED and (v := value + n - over - 3 * cost) > top[0]:
                 top = (v, si, sd, edits + cost)
         chain.append(top)
         _, si, sd, edits = top
-        # the ends of a passage beyond its last changed word may be too short to have a fingerprint
-        left, right = _beyond(item, doc, si - 1, sd - 1, -1), _beyond(item, doc, i + n, d + n, 1)
-        for li, ld, le in {(0, 0, 0), left}:
-            for ri, rd, re_ in {(0, 0, 0), right}:
-                span, passage, all_edits = i + n - si + li + ri, d + n - sd + ld + rd, edits + le + re_
-                if all_edits * CHANGED <= max(span, passage) + CHANGED and span > best[0]:
-                    best = (span, all_edits)
+        span, passage = i + n - si, d + n - sd
+        if edits * CHANGED <= max(span, passage) + CHANGED and span > best[0]:
+            best = (span, edits)
+        if span < need <= span + 4 * K:
+            left, right = _beyond(item, doc, si - 1, sd - 1, -1), _beyond(item, doc, i + n, d + n, 1)
+            for li, ld, le in {(0, 0, 0), left}:
+                for ri, rd, re_ in {(0, 0, 0), right}:
+                    if (edits + le + re_) * CHANGED <= max(span + li + ri, passage + ld + rd) + CHANGED and span + li + ri > best[0]:
+                        best = (span + li + ri, edits + le + re_)
     return best
 
 
@@ -193,19 +201,23 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
                 row = np.repeat(np.arange(len(texts)), size)
                 at, h = winnow(flat, row)
                 i, j = index.hits(h)
-                docs, its = row[at[i]], index.row[j]
-                order = np.lexsort((its, docs))
-                docs, its, dp, ip = docs[order], its[order], (at[i] - start[row[at[i]]])[order], index.at[j][order]
-                edge = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (its[1:] != its[:-1])])) if len(docs) else []
-                out = []
-                for s, e in zip(edge, [*edge[1:], len(docs)], strict=False):
+                docs, its, dp, ip = row[at[i]], index.row[j], at[i] - start[row[at[i]]], index.at[j]
+                # hits of one passage lie on diagonals next to each other; the groups of such hits are long enough or dropped
+                order = np.lexsort((dp - ip, its, docs))
+                docs, its, dp, ip = docs[order], its[order], dp[order], ip[order]
+                if not len(docs):
+                    continue
+                edge = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (its[1:] != its[:-1]) | (np.diff(dp - ip) > GAP)]))
+                spread = np.maximum.reduceat(ip, edge) - np.minimum.reduceat(ip, edge) + K + GAP
+                top: dict[tuple[int, int], tuple[int, int]] = {}
+                for k in np.flatnonzero(spread >= least * index.size[its[edge]]):
+                    s, e = edge[k], edge[k + 1] if k + 1 < len(edge) else len(docs)
                     r, it = int(docs[s]), int(its[s])
                     words = index.words[it]
-                    if int(ip[s:e].max()) - int(ip[s:e].min()) + K + 12 < least * len(words):
-                        continue
-                    span, changed = best_span(words, flat[start[r] : start[r] + size[r]].tolist(), list(zip(ip[s:e].tolist(), dp[s:e].tolist(), strict=True)))
+                    span, changed = best_span(words, flat[start[r] : start[r] + size[r]].tolist(), list(zip(ip[s:e].tolist(), dp[s:e].tolist(), strict=True)), least * len(words))
                     if span >= least * len(words):
-                        out.append((r, index.item[it], span, len(words), changed))
+                        top[r, it] = max(top.get((r, it), (0, 0)), (span, changed))
+                out = [(r, index.item[it], span, len(index.words[it]), changed) for (r, it), (span, changed) in top.items()]
                 if out:
                     c = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int64()), *(pa.array(x, pa.int32()) for x in c[2:])], names=[doc, "item_id", "span", "item_words", "changed"])
