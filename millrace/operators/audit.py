@@ -113,6 +113,27 @@ def render_rates(df: DataFrame, group: str, kind: str, score: str, least: float
     return df.rollup(group).agg(F.count_if(t).alias("teacher_n"), F.count_if(t & (s >= least)).alias("teacher_pass"), F.count_if(n).alias("negative_n"), F.count_if(n & (s < least)).alias("negative_reject"))
 
 
+def score_report(df: DataFrame, columns: list[str], score: str) -> DataFrame:
+    """(dimension, value, rows, total) of a score by each column and over all (`all`), in one pass by grouping sets; null is `unknown`."""
+    named = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(f"c{i}") for i, c in enumerate(columns)), F.col(score).alias("_s"))
+    keys = [F.col(f"c{i}") for i in range(len(columns))]
+    sets = named.groupingSets([*([k] for k in keys), []], *keys).agg(F.grouping_id(*keys).alias("g"), F.count("_s").alias("rows"), F.sum("_s").alias("total"))
+    top = (1 << len(columns)) - 1
+    which, value = F.lit("all"), F.lit("all")
+    for i, c in enumerate(columns):
+        at = F.col("g") == top - (1 << (len(columns) - 1 - i))
+        which, value = F.when(at, c).otherwise(which), F.when(at, keys[i]).otherwise(value)
+    return sets.select(which.alias("dimension"), value.alias("value"), "rows", "total")
+
+
+def dropped(tasks: DataFrame, refined: DataFrame, rejected: DataFrame, group: str) -> DataFrame:
+    """(group, outcome, tasks): how many tasks of each group are usable, have no refined record, or are rejected by a judge."""
+    has = refined.select("task_id").distinct().withColumn("_has", F.lit(True))
+    no = rejected.select("task_id").distinct().withColumn("_no", F.lit(True))
+    outcome = F.when(F.col("_has").isNull(), "no_refinement").when(F.col("_no"), "judge_rejected").otherwise("usable")
+    return tasks.join(has, "task_id", "left").join(no, "task_id", "left").groupBy(group, outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("tasks"))
+
+
 def latest_pivot(df: DataFrame, key: str, kind: str, kinds: list[str], value: str, order: list[Column]) -> DataFrame:
     """(key, one column for each kind): the last value of each kind."""
     return df.groupBy(key).pivot(kind, kinds).agg(F.max_by(F.col(value), F.struct(*order)))

@@ -437,6 +437,28 @@ def review_summary(spark: SparkSession, d: str) -> DataFrame:
     return _reviews(spark, d).groupBy("source", "decision").agg(F.count(F.lit(1)).alias("rows"), F.count("same").alias("scored"), F.sum("same").alias("same_sum"), F.sum(F.size("failures")).cast("long").alias("failures"))
 
 
+_WHERE = "from (select *, cast(value as decimal(18, 2)) as v from events)"
+
+
+@query(f"""select 'event_type' as dimension, event_type as value, count(v) as rows, sum(v) as total {_WHERE} group by 2
+union all select 'user_id', user_id::varchar, count(v), sum(v) {_WHERE} group by 2 union all select 'all', 'all', count(v), sum(v) {_WHERE}""")
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("v", F.col("value").cast("decimal(18,2)"))
+    return audit.score_report(e, ["event_type", "user_id"], "v")
+
+
+@query(f"""with t as (select distinct task_id, style from {TASKS}), h as (select distinct task_id from {TASKS} where ok and refined is not null), n as (select distinct task_id from {_VERDICT} where error is null and (not coalesce(same, false) or coalesce(leaks, false) or coalesce(invented, false)))
+select style, case when task_id not in (select task_id from h) then 'no_refinement' when task_id in (select task_id from n) then 'judge_rejected' else 'usable' end as outcome, count(*) as tasks from t group by 1, 2""")
+def drop_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, TASKS)
+    return audit.dropped(t.select("task_id", "style").distinct(), t.filter("ok and refined is not null"), audit.judge_rejects(_verdicts(spark, d)), "style")
+
+
+@query(f"""select sample_id, ingested_at, contains(coalesce(source_image.path, ''), 'data/benchmarks/') or contains(coalesce(source_image.path, ''), 'outputs/eval/') as forbidden from {PAIRS}""")
+def forbidden_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, PAIRS).select("sample_id", "ingested_at", T.contains_any(F.col("source_image.path"), decontam.FORBIDDEN_PATHS).alias("forbidden"))
+
+
 # ---- samples and splits
 
 def _md5(key: str, seed: str = "1") -> str:
