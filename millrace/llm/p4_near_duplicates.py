@@ -28,7 +28,7 @@ from millrace.llm import nearset as ns
 
 #: Words in a smaller share of the texts weigh as if in this share, so an odd word weighs at most ln(101) / ln(2) = 6.7 times a common one.
 SHARE = 0.01
-ROWS, BANDS = 4, 24
+ROWS, BANDS = 4, 22
 #: Weighted Jaccard similarity that a candidate needs before the exact test. With these weights it can't be below 0.375 if the word similarity is 0.8.
 WEIGHTED = 0.37
 
@@ -110,7 +110,7 @@ def near_links(sets: DataFrame, share: float = SHARE, rows: int = ROWS, bands: i
 
 def near_pairs(records: DataFrame, key: str = "task_id", text: str = "text") -> DataFrame:
     """All pairs of records (key_a < key_b) whose texts are nearly the same."""
-    sets = ns.word_sets(records, text, key).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and normalized once
+    sets = ns.word_sets(records, text, key)
     members = sets.select(key, "sid").distinct()
     unique = ns.classes(sets).persist(StorageLevel.MEMORY_AND_DISK)
     return ns.record_pairs(near_links(unique), members, key)
