@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,16 @@ class WordIds(dict):
         return v
 
 
+def ship(df: DataFrame, value: object):
+    """Broadcasts a value together with the code of its classes, so that workers need no copy of this package; get it by `load`."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def load(shipped) -> object:
+    """The value of `ship`, in a worker."""
+    return cloudpickle.loads(shipped.value)
+
+
 def flat_sets(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All members one after another, and where each set begins; no set may be empty."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.nearset import mix
+from millrace.llm.nearset import load, mix, ship
 from millrace.session import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -150,15 +150,16 @@ def encode_pieces(table: Table, pieces: list[bytes]) -> tuple[np.ndarray, np.nda
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids): one row for each row of `df`."""
-    table = df.sparkSession.sparkContext.broadcast(Table(read_ranks(vocabulary)))
+    shipped = ship(df, Table(read_ranks(vocabulary)))
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = load(shipped)
         for b in batches:
             lists = b.column(1)
             ends = lists.offsets.to_numpy().astype(np.int64)
             codes = lists.flatten().dictionary_encode()
-            ids, begin = encode_pieces(table.value, [p.encode() for p in codes.dictionary.to_pylist()])
+            ids, begin = encode_pieces(table, [p.encode() for p in codes.dictionary.to_pylist()])
             code = codes.indices.to_numpy()
             many = np.diff(begin)[code]
             stop = np.concatenate([[0], np.cumsum(many)])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.asread import read_words
-from millrace.llm.nearset import WordIds, mix
+from millrace.llm.nearset import WordIds, load, mix, ship
 from millrace.session import spread
 
 K, WINDOW, MIN_ITEM = 3, 2, 8
@@ -189,10 +189,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     schema = f"{doc} {kind}, item_id long, span int, item_words int, changed int"
 
     def search(index: Index) -> DataFrame:
-        shipped = documents.sparkSession.sparkContext.broadcast(index)
+        shipped = ship(documents, index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, ids = shipped.value, WordIds()
+            index, ids = load(shipped), WordIds()
             for b in batches:
                 texts = [passage_words(t) for t in b.column(1).to_pylist()]
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
