@@ -145,10 +145,10 @@ def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, tenths: int =
     """
     keyed = spread(df.select(key, text)).select(key, T.normalize(F.coalesce(F.col(text), F.lit(""))).alias("_t")).filter("_t <> ''")
     one = keyed.select("_t").distinct().withColumn("tid", F.xxhash64("_t"))
-    each = grams(one.select("tid", "_t"), "tid", F.col("_t"), n)
+    each = grams(one.select("tid", "_t"), "tid", F.col("_t"), n).select("tid", "size", F.xxhash64("gram").alias("gram"))
     df_counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     lists = each.join(df_counts, "gram").groupBy("tid", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    lists = lists.select("tid", "size", F.transform("g", lambda x: F.xxhash64(x["gram"])).alias("g")).persist()
+    lists = lists.select("tid", "size", F.transform("g", lambda x: x["gram"]).alias("g")).persist()
     prefix = lists.select("tid", "size", F.explode(F.slice("g", F.lit(1), F.col("size") - F.ceil(F.col("size") * tenths / 10) + 1)).alias("h"))
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.size") * 10 >= F.col("b.size") * tenths) & (F.col("b.size") * 10 >= F.col("a.size") * tenths)
