@@ -184,6 +184,22 @@ def record_pairs(links: DataFrame, members: DataFrame, key: str = "task_id") ->
     )
 
 
+def rarest(words: np.ndarray, n: np.ndarray, df: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest n - ceil(0.8 n) + 1 words of each set, and their sets: nearly equal sets share one of them (prefix filter); words not in df come first."""
+    known = np.fromiter(df, np.int64, len(df))
+    order = np.argsort(known)
+    known, count = known[order], np.fromiter(df.values(), np.int64, len(df))[order]
+    often = np.zeros(len(words), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        often = np.where(known[at] == words, count[at], 0)
+    n = n.astype(np.int64)
+    rows = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+    keep = place < (n + -n * TENTHS // 10 + 1)[rows]
+    return words[np.lexsort((words, often, rows))][keep], rows[keep]
+
+
 def frequent_words(sets: DataFrame, share: float) -> tuple[int, dict[int, int]]:
     """The number of sets, and the document frequency of each word found in at least `share` of them.
 

@@ -8,10 +8,9 @@ of a pair, and pairs above OVERLAP get the exact test of nearly the same.
 
 Boilerplate makes some digests hot. A digest in more than HOT records (or a
 millionth of all chunks, which bounds the list of hot digests by 2**20 entries) isn't
-dropped but grown: it is joined together with the next chunk, and if that is hot
-too, with the next three, without a limit there. A pair that shares nothing but
-scattered hot chunks would be missed; no pair of similarity 0.8 did so in any table
-measured.
+dropped: the records that hold one are joined by each of their rarest words
+(prefix filter), which loses no pair of theirs. So a pair is missed only if it shares
+no chunk at all, hot or not.
 
 Field by field: instructions meet instructions, targets meet targets. Null and
 blank texts, and texts of under five distinct words, make no pair; neither do the
@@ -41,7 +40,8 @@ STANDING = (
 )
 TRAIN, EVAL = ("sft_train",), ("sft_val", "bench_test", "hard_heldout")
 WINDOW, HOT, OVERLAP = 1, 200, 0.2
-RUNS = (1, 2, 4)
+#: Words in a smaller share of the texts aren't counted, but taken as the rarest.
+SHARE = 0.001
 
 
 def split_name(split: Column) -> Column:
@@ -107,22 +107,15 @@ def side_classes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bm", "words", "seq", "field")), F.max("train").alias("tr"), (~F.min("train")).alias("ev"))
 
 
-def _hot(classes: DataFrame, found: list[np.ndarray]) -> np.ndarray:
-    """Hot digests of runs at the level after those `found`, sorted; all classes are counted."""
-    level = len(found)
+def _hot(classes: DataFrame) -> np.ndarray:
+    """Hot digests of chunks, sorted; all classes are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seq, ends = _flat(b, "seq")
             if not len(seq):
                 continue
-            begin, stop, row = chunks(seq, ends)
-            want = np.ones(len(begin), bool)
-            for k, hot in enumerate(found):
-                d, inside = run_digests(seq, begin, stop, row, RUNS[k])
-                want &= inside & _among(d, hot)
-            d, inside = run_digests(seq, begin, stop, row, RUNS[level])
-            yield pa.RecordBatch.from_arrays([pa.array(d[want & inside].view(np.int64))], names=["d"])
+            yield pa.RecordBatch.from_arrays([pa.array(run_digests(seq, *chunks(seq, ends), 1)[0].view(np.int64))], names=["d"])
 
     counts = classes.select("seq").mapInArrow(run, "d long").groupBy("d").count()
     total = classes.select(F.sum(F.size("seq"))).first()[0] or 0
@@ -131,10 +124,9 @@ def _hot(classes: DataFrame, found: list[np.ndarray]) -> np.ndarray:
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """(key, sid, n, bm, tr, ev): for each chunk of each class the shortest run from it on that isn't hot."""
-    found: list[np.ndarray] = []
-    for _ in RUNS[:-1]:
-        found.append(_hot(classes, found))
+    """(key, sid, n, bm, tr, ev): the chunks of each class that aren't hot, and of each class with a hot chunk its field and each of its rarest words."""
+    hot = _hot(classes)
+    df = ns.frequent_words(classes, SHARE)[1] if len(hot) else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,17 +134,17 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
             if not len(seq):
                 continue
             begin, stop, row = chunks(seq, ends)
-            key, done = np.zeros(len(begin), np.uint64), np.zeros(len(begin), bool)
-            open_ = np.ones(len(begin), bool)
-            for k, length in enumerate(RUNS):
-                d, inside = run_digests(seq, begin, stop, row, length)
-                fits = open_ & inside & ~_among(d, found[k] if k < len(found) else found[0][:0])
-                key[fits], done = d[fits], done | fits
-                open_ &= inside & ~fits
-            key, at = key[done].view(np.int64), pa.array(row[done])
+            d = run_digests(seq, begin, stop, row, 1)[0]
+            often = _among(d, hot)
+            grown = np.zeros(b.num_rows, bool)
+            grown[row[often]] = True
+            words, sets = ns.rarest(b.column("words").flatten().to_numpy(), b.column("n").to_numpy(), df)
+            words, sets = words[grown[sets]], sets[grown[sets]]
+            rare = ns.mix(words.astype(np.int64).view(np.uint64) ^ ns.mix(b.column("field").to_numpy().astype(np.uint64))[sets])
+            key, at = np.concatenate([d[~often], rare]).view(np.int64), pa.array(np.concatenate([row[~often], sets]))
             yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(at) for c in ("sid", "n", "bm", "tr", "ev"))], names=["key", "sid", "n", "bm", "tr", "ev"])
 
-    keyed = classes.select("seq", "sid", "n", "bm", "tr", "ev", "field").mapInArrow(run, "key long, sid long, n int, bm long, tr boolean, ev boolean")
+    keyed = classes.select("seq", "words", "sid", "n", "bm", "tr", "ev", "field").mapInArrow(run, "key long, sid long, n int, bm long, tr boolean, ev boolean")
     return keyed.dropDuplicates(["key", "sid"])
 
 

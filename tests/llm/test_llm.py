@@ -130,6 +130,24 @@ def test_p1_hot_chunks_are_grown(spark, monkeypatch):
     assert {(f"a{i:03d}", f"b{i:03d}") for i in range(40)} <= pairs(p1.found(df))
 
 
+@pytest.mark.parametrize("words", [10, 12, 20])
+def test_p1_hot_template_loses_nothing(spark, monkeypatch, words):
+    """All chunks are those of one template, and an edit leaves no long run of them."""
+    monkeypatch.setattr(p1, "HOT", 5)
+    r = rng(words)
+    base = r.sample(NOUNS, words)
+    texts = []
+    for i in range(240):
+        w = list(base)
+        w[i % words] = f"odd{i}"
+        texts.append((f"k{i:04d}", " ".join(w)))
+    rows = [(k, "sft_train" if i // words % 2 else "sft_val", t, None) for i, (k, t) in enumerate(texts)]
+    side = {k: s for k, s, _, _ in rows}
+    want = {(a, b) for a, b in near_pairs(texts) if side[a] != side[b]}
+    assert len(want) > 500
+    assert pairs(p1.found(spark.createDataFrame(rows, "task_id string, split string, instruction string, expected_target string"))) == want
+
+
 PAIR = "sample_id string, batch_number int, dataset_id string, provenance struct<split:string,row_idx:bigint>, instruction string, ingested_at timestamp"
 CATALOG = [("Ann/first", None), ("Ann/first_2", None), ("Bob/copy", "Ann/first"), ("Cy/copy", "Bob/copy")]
 
