@@ -8,14 +8,12 @@ is its empty part, so the stored distance s_c(A) is the weight of A's words in
 class c. By the triangle inequality |s_c(A) - s_c(B)| <= d_c(A, B): classes in which
 two sets agree have equal pivot distances, to within less than the least weight.
 
-Nearly equal sets of n words differ in at most 2n/9 words. Classes come in fours;
-while fewer than half of the classes hold a difference, three of some four agree
-(sets of up to 36 words always; for larger ones the differences must share
-classes, which was so for every pair measured, and beyond SPAN words the number
-of classes doubles). So rows are stored under the distances of each three of each
+Nearly equal sets of up to n words differ in at most 2n/9 words. Classes come in
+fours; while there are fewer differences than twice the fours, three of some four
+agree. That is so for sets of under SPAN = 36 words and 16 classes, and the number of
+classes doubles at 36, 72, 144 and so on, so it always is. So rows are stored under the distances of each three of each
 four, and meet in joins on these. A key held by more than HOT sets is not cut off:
-its sets are joined by key and each of their rarest words (prefix filter), which
-loses no pair. All pairs met are verified: bitmap of 64 further pivots, then the
+its sets are joined by each of their rarest words (prefix filter), which loses no pair. All pairs met are verified: bitmap of 64 further pivots, then the
 true Jaccard distance.
 
 The order of acceptance is (batch_number, key), null batches last. A null
@@ -38,7 +36,8 @@ from millrace.llm import nearset as ns
 from millrace.llm.p3_grouped_splits import catalogue, components, dataset_key
 from millrace.session import cut
 
-CLASSES, SPAN = 16, 56
+#: 16 classes are 4 fours, enough for 7 differences: 2n/9 < 8, i.e. sets of under 36 words.
+CLASSES, SPAN = 16, 36
 HOT = 200
 #: Fixed value: the SHA-256 digest of no bytes.
 EMPTY_DIGEST = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -53,6 +52,11 @@ def pivot_distances(words: np.ndarray, rows: np.ndarray, n: int, classes: int) -
     return out.reshape(n, classes)
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """How often the classes are doubled for sets of n words: 2n/9 < 8 * 2**level."""
+    return np.floor(np.log2(np.maximum(n / SPAN, 0.5))).astype(int) + 1
+
+
 def pivot_keys(sets: DataFrame) -> DataFrame:
     """(key, sid, n, bm): a row of the pivot-distance table for each set and each three of each four pivots."""
 
@@ -60,8 +64,7 @@ def pivot_keys(sets: DataFrame) -> DataFrame:
         for b in batches:
             n = b.column(1).to_numpy()
             words, rows = b.column(3).flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-            level = np.ceil(np.log2(np.maximum(n / SPAN, 1))).astype(int)
-            upper = np.ceil(np.log2(np.maximum(n * 10 // ns.TENTHS / SPAN, 1))).astype(int)
+            level, upper = levels(n), levels(n * 10 // ns.TENTHS)
             for lv in range(int(level.min(initial=0)), int(upper.max(initial=-1)) + 1):
                 own = np.flatnonzero((level <= lv) & (lv <= upper))
                 if not len(own):
@@ -84,22 +87,17 @@ def pivot_keys(sets: DataFrame) -> DataFrame:
 
 
 def rare_keys(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, sid, n, bm): rows of hot keys, spread by the rarest n - ceil(0.8 n) + 1 words of each set, of which nearly equal sets share one."""
-    full = hot.join(sets.select("sid", "words"), "sid").select("key", "sid", "n", "bm", "words")
+    """(key, sid, n, bm): the sets that have hot keys, once each, under their rarest n - ceil(0.8 n) + 1 words, of which nearly equal sets share one."""
     _, df = ns.frequent_words(sets, 0.001)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, at = [], []
-            for i, (key, words) in enumerate(zip(b.column("key").to_pylist(), b.column("words").to_pylist(), strict=True)):
-                rare = sorted(words, key=lambda w: (df.get(w, 0), w))[: len(words) + (-len(words) * ns.TENTHS // 10) + 1]
-                keys += [key ^ (w * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF) for w in rare]
-                at += [i] * len(rare)
-            if at:
-                key = ns.mix(np.array(keys, np.int64).view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(pa.array(at)) for c in ("sid", "n", "bm"))], names=["key", "sid", "n", "bm"])
+            if b.num_rows:
+                words, rows = ns.rarest(b.column("words").flatten().to_numpy(), b.column("n").to_numpy(), df)
+                key = ns.mix(words.astype(np.int64).view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(pa.array(rows)) for c in ("sid", "n", "bm"))], names=["key", "sid", "n", "bm"])
 
-    return full.mapInArrow(run, "key long, sid long, n int, bm long")
+    return ns.semi(sets.select("sid", "n", "bm", "words"), cut(hot.select("sid").distinct()), "sid").mapInArrow(run, "key long, sid long, n int, bm long")
 
 
 def near_links(sets: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -108,7 +106,7 @@ def near_links(sets: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     met = ns.pairs_in_keys(shared.filter(F.col("cnt") <= HOT))
     hot = shared.filter(F.col("cnt") > HOT)
     if not hot.isEmpty():
-        met = met.unionByName(ns.pairs_in_keys(ns.shared_keys(rare_keys(hot.drop("cnt"), sets)))).distinct()
+        met = met.unionByName(ns.pairs_in_keys(ns.shared_keys(rare_keys(hot, sets)))).distinct()
     return ns.alike(ns.with_words(met, sets)).select("a", "b")
 
 

@@ -192,6 +192,19 @@ def test_p2_hot_keys_lose_nothing(spark, monkeypatch):
     assert {r[0] for r in p2.edit_rejected(spark.createDataFrame(rows, PAIR), catalog(spark)).collect()} == replay(rows)
 
 
+def test_p2_large_sets_lose_nothing(spark):
+    """Sets of 36 words and more that differ in as many words as nearly equal sets can."""
+    rows, r = [], rng(36)
+    for i in range(600):
+        n = r.choice([36, 45, 50, 56, 71, 72, 100])
+        k = n // 9
+        pool = [f"w{r.randrange(1 << 40)}" for _ in range(n + k)]
+        rows += [(f"a{i}", " ".join(pool[:n])), (f"b{i}", " ".join(pool[k:]))]
+        assert near(set(pool[:n]), set(pool[k:]))
+    sets = ns.classes(ns.word_sets(spark.createDataFrame(rows, "k string, text string"), "text", "k"))
+    assert p2.near_links(sets.persist()).count() == 600
+
+
 def test_p2_ledger_is_the_replay(spark, tmp_path):
     rows = [x for x in edit_pairs(3) if x[1] is not None]
     ledger, got = p2.Ledger(spark, str(tmp_path)), set()
