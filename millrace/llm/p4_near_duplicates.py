@@ -9,6 +9,8 @@ verified by the exact test and by weighted Jaccard similarity.
 - Sampling: HASHES = BANDS * ROWS samples a set; r and c are Gamma(2, 1) and beta
   uniform, each a fixed function of word and sample. Equal samples of two sets
   occur with the probability of their weighted Jaccard similarity.
+- Bands miss pairs whose common words weigh little, so each set also goes under its
+  rarest words (prefix filter), of which nearly equal sets share one: no pair is missed.
 - Classes of one word set are one node; records without five distinct words, and
   null or blank texts, are in no pair and form groups of their own. A record
   delivered twice counts once. Ties and repeated rows change nothing.
@@ -28,7 +30,9 @@ from millrace.llm import nearset as ns
 
 #: Words in a smaller share of the texts weigh as if in this share, so an odd word weighs at most ln(101) / ln(2) = 6.7 times a common one.
 SHARE = 0.01
-ROWS, BANDS = 4, 22
+ROWS, BANDS = 4, 24
+#: Words in a smaller share of the texts aren't counted for the prefix filter, but taken as the rarest.
+RARE = 0.001
 #: Weighted Jaccard similarity that a candidate needs before the exact test. With these weights it can't be below 0.375 if the word similarity is 0.8.
 WEIGHTED = 0.37
 
@@ -81,6 +85,20 @@ def band_keys(sets: DataFrame, n: int, df: dict[int, int], share: float = SHARE,
     return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, n int, bm long")
 
 
+def rare_keys(sets: DataFrame) -> DataFrame:
+    """(key, sid, n, bm): a row for each class and each of its rarest n - ceil(0.8 n) + 1 words."""
+    _, df = ns.frequent_words(sets, RARE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                words, rows = ns.rarest(b.column("words").flatten().to_numpy(), b.column("n").to_numpy(), df)
+                key = ns.mix(words.astype(np.int64).view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(pa.array(rows)) for c in ("sid", "n", "bm"))], names=["key", "sid", "n", "bm"])
+
+    return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, n int, bm long")
+
+
 def weighted_similarity(pairs: DataFrame, n: int, df: dict[int, int], share: float = SHARE) -> DataFrame:
     """Pairs with words, with their weighted Jaccard similarity `wsim`."""
 
@@ -101,7 +119,7 @@ def near_links(sets: DataFrame, share: float = SHARE, rows: int = ROWS, bands: i
     """Pairs (a, b) of classes whose word sets are nearly equal, with `both` and `wsim`; sets: classes()."""
     n, df = ns.frequent_words(sets, share)
     # kept, as both sides of the join are this one table, already partitioned and sorted by key
-    shared = ns.shared_keys(band_keys(sets, n, df, share, rows, bands)).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = ns.shared_keys(band_keys(sets, n, df, share, rows, bands).unionByName(rare_keys(sets))).persist(StorageLevel.MEMORY_AND_DISK)
     found = ns.pairs_in_keys(shared)
     # the exact test goes first, as it runs in the JVM and no pair that passes it has less than WEIGHTED
     near = ns.alike(ns.with_words(found, sets)).select("a", "b", "both", "wa", "wb")

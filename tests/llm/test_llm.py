@@ -84,6 +84,15 @@ def test_p4_is_brute_force(spark):
     assert p4.near_pairs(df.limit(0)).count() == 0
 
 
+def test_p4_pairs_that_no_band_has(spark):
+    """Template words in all texts weigh little, odd ones much: bands miss many such pairs."""
+    r = rng(44)
+    template = r.sample(NOUNS, 40)
+    rows = [(f"k{i:03d}", " ".join([*template, *(f"odd{i}x{j}" for j in range(4))])) for i in range(120)]
+    want = near_pairs(rows)
+    assert len(want) == 120 * 119 // 2 and pairs(p4.near_pairs(spark.createDataFrame(rows, "task_id string, text string"))) == want
+
+
 def test_p4_samples_estimate_weighted_similarity():
     import numpy as np
 
