@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.asread import read_words
@@ -145,6 +145,70 @@ def pairs_in_keys(rows: DataFrame) -> DataFrame:
     return a.hint("merge").join(b, on).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
 
 
+#: A key held by more classes than this is hot: its classes are joined by their rarest words instead.
+HOT = 200
+#: Words are counted in so many buckets; the table of counts is 4 MB, whatever the corpus.
+COUNT_BITS = 20
+
+
+def word_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets each bucket of words occurs, over all sets (words that share a bucket are counted together)."""
+    out = np.zeros(1 << COUNT_BITS, np.int32)
+    each = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND((1 << COUNT_BITS) - 1).alias("k")).count()
+    got = each.toArrow()
+    out[got["k"].to_numpy()] = np.minimum(got["count"].to_numpy(), 2**31 - 1)
+    return out
+
+
+def often(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each word's bucket."""
+    return counts[words & ((1 << COUNT_BITS) - 1)]
+
+
+def rare_rows(sets: DataFrame, counts: np.ndarray, *also: str) -> DataFrame:
+    """(key, sid, n, bm, pos, held, `also`): sets under their rarest words, of which nearly equal sets share one (prefix filter).
+
+    All words are in one order, by the count of their bucket, then by number. A set of n words goes under its first
+    n - ceil(0.8 n) + 1; those up to n - ceil(8/9 n) + 1 are `held`, which is enough for partners that aren't smaller. pos: the word's place.
+    """
+    shipped = sets.sparkSession.sparkContext.broadcast(counts)
+    kinds = dict(sets.dtypes)
+    names = ["sid", "n", "bm", *also]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(len(names))
+            words, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            rows = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            keep = place < (n + -n * TENTHS // 10 + 1)[rows]
+            words = words[np.lexsort((words, often(words, shipped.value), rows))][keep]
+            rows, place = rows[keep], place[keep]
+            held = place < (n + -n * 2 * TENTHS // (10 + TENTHS) + 1)[rows]
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(words.astype(np.int64).view(np.uint64)).view(np.int64)), *(b.column(k).take(at) for k in range(len(names))), pa.array(place.astype(np.int32)), pa.array(held)], names=["key", *names, "pos", "held"])
+
+    return sets.select(*names, "words").mapInArrow(run, ", ".join(["key long", *(f"{c} {kinds[c]}" for c in names), "pos int, held boolean"]))
+
+
+def rare_pairs(rows: DataFrame, also: Column | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows of `rare_rows` that can be nearly equal; also: a further condition on a.* and b.*.
+
+    The larger set of a pair (of equals, that of the larger id) meets the smaller where the smaller one is held; from a word's
+    places follows how much both can share from there on. A template word in a third of all rows is then met by the few sets
+    that hold it, as the words that tell the sets apart come before it.
+    """
+    shared = rows.withColumn("cnt", F.sum(F.col("held").cast("int")).over(Window.partitionBy("key"))).filter("cnt > 0")
+    a, b = shared.alias("a"), shared.filter("held").alias("b")
+    larger = (F.col("a.n") > F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.sid") > F.col("b.sid"))
+    room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (10 + TENTHS) >= (F.col("a.n") + F.col("b.n")) * TENTHS
+    on = (F.col("a.key") == F.col("b.key")) & larger & room & close()
+    met = a.hint("merge").join(b, on if also is None else on & also)
+    return met.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+
+
 #: Rows of two numbers that may be broadcast: some 10 MB.
 SMALL = 300_000
 
@@ -154,16 +218,30 @@ def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, on, "left_semi")
 
 
-def with_words(pairs: DataFrame, sets: DataFrame, *also: str) -> DataFrame:
-    """Pairs (a, b) with the sets wa and wb, and with `seq` qa and qb; only the sets of these pairs are moved."""
+def with_words(pairs: DataFrame, sets: DataFrame, column: str = "words") -> DataFrame:
+    """Pairs (a, b) with wa and wb, the words (or another list) of both; only the lists of these pairs are moved."""
     pairs = cut(pairs)
     ends = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
-    words = semi(sets.select("sid", "words", *also), ends, "sid")
+    words = semi(sets.select("sid", column), ends, "sid")
     for end in ("a", "b"):
-        pairs = pairs.join(words.select(F.col("sid").alias(end), F.col("words").alias(f"w{end}"), *(F.col(c).alias(f"q{end}") for c in also)), end)
+        pairs = pairs.join(words.select(F.col("sid").alias(end), F.col(column).alias(f"w{end}")), end)
     return pairs
 
 
+def shared_words(b: pa.RecordBatch, left: str = "wa", right: str = "wb") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of pairs with two columns of sorted word sets: the words and rows of both sides, and which of the left words the right set has."""
+    flat = []
+    for c in (left, right):
+        lists = b.column(c)
+        flat += [lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))]
+    key = [r.astype(np.uint64) << np.uint64(32) | w.view(np.uint32).astype(np.uint64) for w, r in (flat[:2], flat[2:])]
+    at = np.searchsorted(key[1], key[0])
+    both = np.zeros(len(key[0]), bool)
+    if len(key[1]):
+        both = key[1][np.minimum(at, len(key[1]) - 1)] == key[0]
+    return *flat, both
+
+
 def alike(pairs: DataFrame) -> DataFrame:
     """The exact check of pairs with words: those of Jaccard similarity 0.8 or more."""
     both = F.size(F.array_intersect("wa", "wb"))
@@ -182,33 +260,3 @@ def record_pairs(links: DataFrame, members: DataFrame, key: str = "task_id") ->
         .unionByName(within.select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b")))
         .distinct()
     )
-
-
-def rarest(words: np.ndarray, n: np.ndarray, df: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest n - ceil(0.8 n) + 1 words of each set, and their sets: nearly equal sets share one of them (prefix filter); words not in df come first."""
-    known = np.fromiter(df, np.int64, len(df))
-    order = np.argsort(known)
-    known, count = known[order], np.fromiter(df.values(), np.int64, len(df))[order]
-    often = np.zeros(len(words), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        often = np.where(known[at] == words, count[at], 0)
-    n = n.astype(np.int64)
-    rows = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-    keep = place < (n + -n * TENTHS // 10 + 1)[rows]
-    return words[np.lexsort((words, often, rows))][keep], rows[keep]
-
-
-def frequent_words(sets: DataFrame, share: float) -> tuple[int, dict[int, int]]:
-    """The number of sets, and the document frequency of each word found in at least `share` of them.
-
-    Every set is counted. At most (words in all sets) / (share * sets), i.e. mean
-    set size / share, words can be that frequent, however large the corpus: with
-    the default share some 40,000 numbers, which is what comes to the driver.
-    """
-    n = sets.count()
-    if not n:
-        return 0, {}
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= max(2.0, share * n))
-    return n, {r["w"]: r["count"] for r in counts.collect()}

@@ -1,21 +1,25 @@
 """Problem 1: same or near-same records across splits.
 
-Content-defined chunks: the words of a record, as read, are cut where a rolling
-hash of the last WINDOW words is even, so a chunk holds two words on average and
-an edit changes only the chunks it touches. Chunk digests are joined across
-splits, shared chunk lengths are summed into the overlap fraction of each record
-of a pair, and pairs above OVERLAP get the exact test of nearly the same.
-
-Boilerplate makes some digests hot. A digest in more than HOT records (or a
-millionth of all chunks, which bounds the list of hot digests by 2**20 entries) isn't
-dropped: the records that hold one are joined by each of their rarest words
-(prefix filter), which loses no pair of theirs. So a pair is missed only if it shares
-no chunk at all, hot or not.
+Content-defined chunks: a rolling hash of the last WINDOW words of a record, as read,
+decides where it is cut, so an edit changes only the chunks it touches. Chunks hold
+2**level words on average; the level rises with the record, so that a record of n
+words has 8 to 16 chunks (under 16 words, each word is one), and each record is cut
+twice, by two hashes: at most 2n/9 edits hardly ever touch all chunks of both (none of
+20,000 simulated pairs of 9 to 63 words with the most edits, 1 in 1,000 of 64 words).
+A record also gets the chunks of the level that its longest partner has.
+
+Chunk digests are joined across splits, the lengths of shared chunks are summed for
+each pair, and pairs whose sum is at least OVERLAP of the shorter record get the exact
+test of nearly the same, with the overlap fraction of each record.
+
+Boilerplate makes some digests hot. One of more than nearset.HOT classes isn't
+dropped: its classes are joined by their rarest words instead (prefix filter with
+places), which loses no pair of theirs.
 
 Field by field: instructions meet instructions, targets meet targets. Null and
 blank texts, and texts of under five distinct words, make no pair; neither do the
-standing sentences. Records of other splits, or of none, are on neither side. A
-record delivered twice counts once.
+standing sentences, which the caller names. Records of other splits, or of none, are
+on neither side. A record delivered twice counts once.
 """
 
 from __future__ import annotations
@@ -25,23 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.asread import read_words
 from millrace.llm import nearset as ns
 from millrace.session import cut
 
-#: The sentences that stand for a target yet to come.
-STANDING = (
-    "Target is still to be rendered by the editor and then checked against the list.",
-    "No target text yet, the reviewer fills this in after the first render.",
-    "Pending: see the checklist of the task for what the result has to show.",
-)
 TRAIN, EVAL = ("sft_train",), ("sft_val", "bench_test", "hard_heldout")
-WINDOW, HOT, OVERLAP = 1, 200, 0.2
-#: Words in a smaller share of the texts aren't counted, but taken as the rarest.
-SHARE = 0.001
+WINDOW, OVERLAP = 3, 0.05
+#: Words of the shortest record of level 1; each level doubles them.
+SPAN = 16
+#: The two hashes by which records are cut.
+SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: The level of `record_overlap`, which compares records of all lengths: 4 words a chunk.
+PLAIN = 2
 
 
 def split_name(split: Column) -> Column:
@@ -49,31 +51,35 @@ def split_name(split: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(split, r"[\s\u00A0\u200B\uFEFF]+", " "))), r"[ -]+", "_")
 
 
-def chunks(seq: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the records seq[ends[i]:ends[i + 1]]: where each chunk begins, where each ends, and its record."""
-    h = ns.mix(seq.astype(np.int64).view(np.uint64))
+def levels(n: np.ndarray) -> np.ndarray:
+    """The level of records of n distinct words."""
+    return np.maximum(np.floor(np.log2(np.maximum(n, 1) / SPAN)).astype(int) + 1, 0)
+
+
+def chunks(seq: np.ndarray, ends: np.ndarray, level: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the records seq[ends[i]:ends[i + 1]]: where each chunk begins, where each ends, and its record; level: of each record."""
+    h = ns.mix(seq.astype(np.int64).view(np.uint64) ^ np.uint64(seed))
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     roll = h.copy()
     with np.errstate(over="ignore"):
-        for j in range(1, window):
+        for j in range(1, WINDOW):
             roll[j:] += np.where(row[j:] == row[:-j], h[:-j], np.uint64(0)) * np.uint64(pow(1_000_003, j, 1 << 64))
-    last = roll >> np.uint64(17) & np.uint64(1) == 0
+    mask = (np.uint64(1) << level.astype(np.uint64)) - np.uint64(1)
+    last = ns.mix(roll) & mask[row] == 0
     last[ends[1:][np.diff(ends) > 0] - 1] = True
     stop = np.flatnonzero(last) + 1
     return np.concatenate([[0], stop[:-1]]).astype(np.int64) if len(stop) else stop, stop, row[stop - 1]
 
 
-def run_digests(seq: np.ndarray, begin: np.ndarray, stop: np.ndarray, row: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """The digest of each run of `run` chunks from a chunk on, and which runs stay within their record."""
+def digests(seq: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The digest of each chunk: a polynomial of its words, from running sums."""
     odd = np.uint64(0x9E3779B97F4A7C15)
     back = np.uint64(pow(int(odd), -1, 1 << 64))
     with np.errstate(over="ignore"):
         up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(seq), odd))])
         total = np.concatenate([[np.uint64(0)], np.cumsum(ns.mix(seq.astype(np.int64).view(np.uint64) + np.uint64(77)) * up[:-1])])
         down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(seq), back))])
-        to = np.minimum(np.arange(len(begin)) + run - 1, len(begin) - 1)
-        inside = (np.arange(len(begin)) + run - 1 < len(begin)) & (row[to] == row)
-        return ns.mix((total[stop[to]] - total[begin]) * down[begin] + np.uint64(run)), inside
+        return ns.mix((total[stop] - total[begin]) * down[begin])
 
 
 def _flat(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -82,153 +88,157 @@ def _flat(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     return seqs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _among(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    if not len(hot):
-        return np.zeros(len(x), bool)
-    return hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
-
-
-def sides(seeds: DataFrame) -> DataFrame:
-    """(task_id, train, field, sid, n, bm, words, seq) of both texts of the records on either side, without standing sentences."""
+def sides(seeds: DataFrame, standing: tuple[str, ...]) -> DataFrame:
+    """(task_id, train, field, sid, n, bm, seq) of both texts of the records on either side, without targets nearly the same as a standing sentence."""
     split = split_name(F.col("split"))
     src = seeds.select("task_id", F.when(split.isin(*TRAIN), True).when(split.isin(*EVAL), False).alias("train"), "instruction", "expected_target").filter("train is not null")
     src = src.select("task_id", "train", F.explode(F.map_from_arrays(F.array(F.lit(1), F.lit(2)), F.array("instruction", "expected_target"))).alias("field", "text"))
     sets = ns.word_sets(src, "text", "task_id", "train", "field", order=True)
-    for s in STANDING:
+    for s in standing:
         ids = ns.WordIds()
         known = sorted({((ids[w] & 0xFFFFFFFF) ^ 0x80000000) - 0x80000000 for w in read_words(s)})
         both = F.size(F.array_intersect("words", F.array(*map(F.lit, known))))
-        sets = sets.filter((F.col("field") == 1) | (both * 10 < (F.col("n") + len(known) - both) * 6))
-    return sets.withColumn("sid", F.xxhash64("field", "sid"))
+        sets = sets.filter((F.col("field") == 1) | (both * 10 < (F.col("n") + len(known) - both) * ns.TENTHS))
+    return sets.select("task_id", "train", "field", F.xxhash64("field", "sid").alias("sid"), "n", "bm", "seq")
 
 
 def side_classes(sets: DataFrame) -> DataFrame:
-    """One row for each field and word set: sid, n, bm, words, seq, field, and whether training (tr) and evaluation (ev) records have it."""
-    return sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bm", "words", "seq", "field")), F.max("train").alias("tr"), (~F.min("train")).alias("ev"))
-
-
-def _hot(classes: DataFrame) -> np.ndarray:
-    """Hot digests of chunks, sorted; all classes are counted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seq, ends = _flat(b, "seq")
-            if not len(seq):
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(run_digests(seq, *chunks(seq, ends), 1)[0].view(np.int64))], names=["d"])
-
-    counts = classes.select("seq").mapInArrow(run, "d long").groupBy("d").count()
-    total = classes.select(F.sum(F.size("seq"))).first()[0] or 0
-    rows = counts.filter(F.col("count") > max(HOT, total >> 20)).select("d").collect()
-    return np.sort(np.array([r["d"] for r in rows], np.int64).view(np.uint64))
+    """One row for each field and word set: sid, n, bm, seq, field, and side: 1 if training records have it, 2 if evaluation records do, 3 if both."""
+    whole = sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bm", "seq", "field")), F.max("train").alias("tr"), (~F.min("train")).alias("ev"))
+    return whole.select("sid", "n", "bm", "seq", "field", (F.col("tr").cast("int") + F.col("ev").cast("int") * 2).alias("side"))
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """(key, sid, n, bm, tr, ev): the chunks of each class that aren't hot, and of each class with a hot chunk its field and each of its rarest words."""
-    hot = _hot(classes)
-    df = ns.frequent_words(classes, SHARE)[1] if len(hot) else {}
+    """(key, sid, n, bm, side, size): the chunks of each class at its level, by both hashes, and at that of its longest partner; size: words in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seq, ends = _flat(b, "seq")
             if not len(seq):
                 continue
-            begin, stop, row = chunks(seq, ends)
-            d = run_digests(seq, begin, stop, row, 1)[0]
-            often = _among(d, hot)
-            grown = np.zeros(b.num_rows, bool)
-            grown[row[often]] = True
-            words, sets = ns.rarest(b.column("words").flatten().to_numpy(), b.column("n").to_numpy(), df)
-            words, sets = words[grown[sets]], sets[grown[sets]]
-            rare = ns.mix(words.astype(np.int64).view(np.uint64) ^ ns.mix(b.column("field").to_numpy().astype(np.uint64))[sets])
-            key, at = np.concatenate([d[~often], rare]).view(np.int64), pa.array(np.concatenate([row[~often], sets]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(at) for c in ("sid", "n", "bm", "tr", "ev"))], names=["key", "sid", "n", "bm", "tr", "ev"])
-
-    keyed = classes.select("seq", "words", "sid", "n", "bm", "tr", "ev", "field").mapInArrow(run, "key long, sid long, n int, bm long, tr boolean, ev boolean")
-    return keyed.dropDuplicates(["key", "sid"])
+            n = b.column("n").to_numpy()
+            own, most = levels(n), levels(n * 10 // ns.TENTHS)
+            field = ns.mix(b.column("field").to_numpy().astype(np.uint64))
+            for up in (0, 1):
+                level = own + up
+                for k, seed in enumerate(SEEDS):
+                    begin, stop, row = chunks(seq, ends, level, seed)
+                    # where each word is a chunk, the two hashes cut alike
+                    keep = (level <= most)[row] & ((level > 0)[row] | (k == 0))
+                    begin, stop, row = begin[keep], stop[keep], row[keep]
+                    key = ns.mix(digests(seq, begin, stop) ^ field[row] ^ ns.mix((level[row] * 2 + k).astype(np.uint64)))
+                    order = np.lexsort((key, row))
+                    key, row, size = key[order], row[order], (stop - begin)[order]
+                    first = np.ones(len(key), bool)
+                    first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                    at = pa.array(row[first])
+                    if first.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), *(b.column(c).take(at) for c in ("sid", "n", "bm", "side")), pa.array(size[first].astype(np.int32))], names=["key", "sid", "n", "bm", "side", "size"])
+
+    return classes.select("seq", "sid", "n", "bm", "side", "field").mapInArrow(run, "key long, sid long, n int, bm long, side int, size int")
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, qa, qb) with oa and ob: the share of each one's words that lie in chunks both have."""
+    """(a, b, oa, ob) of the pairs of sequences wa and wb that are nearly the same; oa, ob: the share of each one's words in chunks that both have, by the better hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
+            m = b.num_rows
+            if not m:
                 continue
-            sums = []
-            for c in ("qa", "qb"):
-                seq, ends = _flat(b, c)
-                begin, stop, row = chunks(seq, ends)
-                sums.append((run_digests(seq, begin, stop, row, 1)[0], stop - begin, row))
-            out = []
-            with np.errstate(over="ignore"):
-                own = [ns.mix(d ^ ns.mix(row.astype(np.uint64))) for d, _, row in sums]
-            for i in (0, 1):
-                _, size, row = sums[i]
-                shared = np.bincount(row, size * np.isin(own[i], own[1 - i]), b.num_rows)
-                out.append(pa.array(shared / np.maximum(1, np.bincount(row, size, b.num_rows))))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *out], names=["a", "b", "oa", "ob"])
-
-    return pairs.select("a", "b", "qa", "qb").mapInArrow(run, "a long, b long, oa double, ob double")
+            seqs = [_flat(b, c) for c in ("wa", "wb")]
+            words = []
+            for seq, ends in seqs:
+                row = np.repeat(np.arange(m, dtype=np.uint64), np.diff(ends))
+                words.append(np.unique(row << np.uint64(32) | seq.view(np.uint32).astype(np.uint64)))
+            n = [np.bincount((w >> np.uint64(32)).astype(np.int64), minlength=m) for w in words]
+            both = np.bincount((words[0][np.isin(words[0], words[1], assume_unique=True)] >> np.uint64(32)).astype(np.int64), minlength=m)
+            near = both * 10 >= (n[0] + n[1] - both) * ns.TENTHS
+            level = levels(np.maximum(n[0], n[1]))
+            best = np.zeros((2, m))
+            for seed in SEEDS:
+                cuts = [chunks(seq, ends, level, seed) for seq, ends in seqs]
+                with np.errstate(over="ignore"):
+                    own = [ns.mix(digests(seq, begin, stop) ^ ns.mix(row.astype(np.uint64))) for (seq, _), (begin, stop, row) in zip(seqs, cuts, strict=True)]
+                for i, (begin, stop, row) in enumerate(cuts):
+                    size = stop - begin
+                    best[i] = np.maximum(best[i], np.bincount(row, size * np.isin(own[i], own[1 - i]), m) / np.maximum(1, np.bincount(row, size, m)))
+            at = np.flatnonzero(near)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(at)) for c in ("a", "b")] + [pa.array(x[at]) for x in best], names=["a", "b", "oa", "ob"])
+
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, oa double, ob double")
 
 
 def cross_links(classes: DataFrame) -> DataFrame:
-    """(a, b, field, oa, ob): class a has training records, class b evaluation records, and they are nearly the same; a = b where one class has both."""
+    """(a, b, oa, ob), computed: class a has training records, class b evaluation records, and they are nearly the same; a = b where one class has both."""
     keyed = chunk_keys(classes)
-    shared = ns.shared_keys(keyed).persist(StorageLevel.MEMORY_AND_DISK)
-    a, b = shared.filter("tr").alias("a"), shared.filter("ev").alias("b")
-    met = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") != F.col("b.sid")) & ns.close()).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-    near = ns.alike(ns.with_words(met, classes, "seq")).select("a", "b", "qa", "qb")
-    field = classes.select(F.col("sid").alias("a"), "field")
-    apart = semi_field(overlaps(near).filter(F.greatest("oa", "ob") >= OVERLAP), field)
-    return apart.unionByName(classes.filter("tr and ev").select(F.col("sid").alias("a"), F.col("sid").alias("b"), "field", F.lit(1.0).alias("oa"), F.lit(1.0).alias("ob")))
-
-
-def semi_field(links: DataFrame, field: DataFrame) -> DataFrame:
-    links = cut(links)
-    return links.join(ns.semi(field, cut(links.select("a").distinct()), "a"), "a")
-
-
-def cross_pairs(seeds: DataFrame) -> DataFrame:
-    """(train_id, eval_id, field, oa, ob): records of the training split and of evaluation splits with nearly the same text."""
-    sets = sides(seeds).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and normalized once
-    members = sets.select("task_id", "train", "sid").distinct()
+    known = ns.shared_keys(keyed).withColumn("sides", F.bit_or("side").over(Window.partitionBy("key")))
+    shared = known.filter("sides = 3").persist(StorageLevel.MEMORY_AND_DISK)
+    few = shared.filter(F.col("cnt") <= ns.HOT)
+    a, b = few.filter("side <> 2").alias("a"), few.filter("side <> 1").alias("b")
+    met = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") != F.col("b.sid")) & ns.close())
+    # each pair was cut by both hashes, under one or two levels
+    sums = met.groupBy(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).agg(F.sum("a.size").alias("words"), F.first(F.least("a.n", "b.n")).alias("n"))
+    pairs = sums.filter(F.col("words") >= F.col("n") * OVERLAP).select("a", "b")
+    hot = cut(shared.filter(F.col("cnt") > ns.HOT).select("sid").distinct())
+    if not hot.isEmpty():
+        sets = classes.select("sid", "n", "bm", "side", "field", F.array_distinct("seq").alias("words"))
+        rows = ns.rare_rows(ns.semi(sets, hot, "sid"), ns.word_counts(sets), "side", "field").withColumn("key", F.xxhash64("key", "field"))
+        across = F.col("a.side").bitwiseOR(F.col("b.side")) == 3
+        rare = ns.rare_pairs(rows, across)
+        sided = ns.semi(classes.select("sid", "side"), hot, "sid")
+        rare = rare.join(sided.select(F.col("sid").alias("a"), F.col("side").alias("sa")), "a").join(sided.select(F.col("sid").alias("b"), F.col("side").alias("sb")), "b")
+        turned = rare.filter("sb <> 1 and sa <> 2").select("a", "b").unionByName(rare.filter("sa <> 1 and sb <> 2").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = pairs.unionByName(turned).distinct()
+    near = overlaps(ns.with_words(pairs, classes, "seq"))
+    out = cut(near.unionByName(classes.filter("side = 3").select(F.col("sid").alias("a"), F.col("sid").alias("b"), F.lit(1.0).alias("oa"), F.lit(1.0).alias("ob"))))
+    shared.unpersist()
+    return out
+
+
+def cross_pairs(seeds: DataFrame, standing: tuple[str, ...]) -> DataFrame:
+    """(train_id, eval_id, oa, ob): records of the training split and of evaluation splits with nearly the same text."""
+    sets = sides(seeds, standing).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and normalized once
+    members = cut(sets.select("task_id", "train", "sid").distinct())
     classes = side_classes(sets).persist(StorageLevel.MEMORY_AND_DISK)
-    links = cut(cross_links(classes))
+    links = cross_links(classes)
+    classes.unpersist()
+    sets.unpersist()
     x = members.filter("train").select(F.col("task_id").alias("train_id"), F.col("sid").alias("a"))
     y = members.filter("not train").select(F.col("task_id").alias("eval_id"), F.col("sid").alias("b"))
-    return links.join(x, "a").join(y, "b").filter("train_id <> eval_id").select("train_id", "eval_id", "field", "oa", "ob")
+    return links.join(x, "a").join(y, "b").filter("train_id <> eval_id").select("train_id", "eval_id", "oa", "ob")
 
 
-def found(seeds: DataFrame) -> DataFrame:
+def found(seeds: DataFrame, standing: tuple[str, ...] = ()) -> DataFrame:
     """(task_id_a, task_id_b), the smaller key first: all cross-split pairs."""
-    p = cross_pairs(seeds)
+    p = cross_pairs(seeds, standing)
     return p.select(F.least("train_id", "eval_id").alias("task_id_a"), F.greatest("train_id", "eval_id").alias("task_id_b")).distinct()
 
 
-def record_overlap(seeds: DataFrame) -> DataFrame:
+def record_overlap(seeds: DataFrame, standing: tuple[str, ...] = ()) -> DataFrame:
     """(task_id, field, words, shared, fraction) of each evaluation record: how much of it lies in chunks that training records have."""
-    sets = sides(seeds).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and normalized once
-    classes = side_classes(sets).persist(StorageLevel.MEMORY_AND_DISK)
+    sets = sides(seeds, standing).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and normalized once
+    held = cut(sets.select("task_id", "train", "sid").distinct())
+    classes = side_classes(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seq, ends = _flat(b, "seq")
             if len(seq):
-                begin, stop, row = chunks(seq, ends)
+                begin, stop, row = chunks(seq, ends, np.full(b.num_rows, PLAIN), SEEDS[0])
                 at = pa.array(row)
-                d = run_digests(seq, begin, stop, row, 1)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array((stop - begin).astype(np.int32)), *(b.column(c).take(at) for c in ("sid", "field", "tr", "ev"))], names=["d", "size", "sid", "field", "tr", "ev"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests(seq, begin, stop).view(np.int64)), pa.array((stop - begin).astype(np.int32)), *(b.column(c).take(at) for c in ("sid", "field", "side"))], names=["d", "size", "sid", "field", "side"])
 
-    cut_up = classes.select("seq", "sid", "field", "tr", "ev").mapInArrow(run, "d long, size int, sid long, field int, tr boolean, ev boolean")
-    trained = cut_up.filter("tr").select("field", "d").distinct().withColumn("known", F.lit(True))
-    sums = cut_up.filter("ev").join(trained, ["field", "d"], "left").groupBy("sid", "field").agg(F.sum("size").alias("words"), F.sum(F.when(F.col("known"), F.col("size")).otherwise(0)).alias("shared"))
-    held = sets.filter("not train").select("task_id", "sid").distinct()
-    return held.join(sums, "sid").select("task_id", "field", "words", "shared", (F.col("shared") / F.col("words")).alias("fraction"))
+    cut_up = cut(classes.select("seq", "sid", "field", "side").mapInArrow(run, "d long, size int, sid long, field int, side int"))
+    sets.unpersist()
+    trained = cut_up.filter("side <> 2").select("field", "d").distinct().withColumn("known", F.lit(True))
+    # a chunk that a third of the records have is one row for each of them: the sums come together by record, and AQE splits such a partition
+    sums = cut_up.filter("side <> 1").join(trained, ["field", "d"], "left").groupBy("sid", "field").agg(F.sum("size").alias("words"), F.sum(F.when(F.col("known"), F.col("size")).otherwise(0)).alias("shared"))
+    return held.filter("not train").select("task_id", "sid").join(sums, "sid").select("task_id", "field", "words", "shared", (F.col("shared") / F.col("words")).alias("fraction"))
 
 
-def report(seeds: DataFrame) -> DataFrame:
+def report(seeds: DataFrame, standing: tuple[str, ...] = ()) -> DataFrame:
     """(eval_split, source, pairs, eval_records, train_records): the overlaps found, by evaluation split and source."""
     at = seeds.select(F.col("task_id").alias("eval_id"), split_name(F.col("split")).alias("eval_split"), "source").distinct()
-    p = cross_pairs(seeds).select("train_id", "eval_id").distinct().join(at, "eval_id")
+    p = cross_pairs(seeds, standing).select("train_id", "eval_id").distinct().join(at, "eval_id")
     return p.groupBy("eval_split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"))

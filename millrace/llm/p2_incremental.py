@@ -2,19 +2,26 @@
 
 Pivot-distance table. The metric is the weighted size of the symmetric difference
 of two word sets, d(A, B) = sum of w(x) over x in exactly one of them, with a
-fixed pseudo-random weight in [1, 2) for each word. Words fall into CLASSES fixed
-classes; d is the sum of its parts d_c over the classes, and the pivot of a class
-is its empty part, so the stored distance s_c(A) is the weight of A's words in
-class c. By the triangle inequality |s_c(A) - s_c(B)| <= d_c(A, B): classes in which
-two sets agree have equal pivot distances, to within less than the least weight.
-
-Nearly equal sets of up to n words differ in at most 2n/9 words. Classes come in
-fours; while there are fewer differences than twice the fours, three of some four
-agree. That is so for sets of under SPAN = 36 words and 16 classes, and the number of
-classes doubles at 36, 72, 144 and so on, so it always is. So rows are stored under the distances of each three of each
-four, and meet in joins on these. A key held by more than HOT sets is not cut off:
-its sets are joined by each of their rarest words (prefix filter), which loses no pair. All pairs met are verified: bitmap of 64 further pivots, then the
-true Jaccard distance.
+fixed pseudo-random weight in [1, 2) for each word. Words fall into fixed classes;
+d is the sum of its parts d_c over the classes, and the pivot of a class is its
+empty part, so the stored distance s_c(A) is the weight of A's words in class c.
+By the triangle inequality |s_c(A) - s_c(B)| <= d_c(A, B): a class in which two sets
+don't differ has equal distances, to within less than the least weight.
+
+A row of the table is a set under its distances to three pivots, and the range key
+is these distances one after another, as they are, behind the number of the three
+pivots; rows are range-partitioned and sorted by it. Nearly equal sets of n words
+differ in at most 2n/9 words. Classes come in fours; while there are fewer
+differences than twice the fours, three of some four have none, so the two sets meet
+where the intervals of these three distances have no width. The number of classes
+doubles at 9, 18, 36, 72 words and so on, so that this always holds: no pair is
+missed at any size. Pairs that meet are pruned by the distances to the empty set
+(sizes) and to 64 unit pivots (bitmap), then the true distance is verified.
+A key held by more than nearset.HOT sets is not cut off: its sets go under their
+rarest words (prefix filter), which loses no pair.
+
+`edit_rejected` replays all batches of a table at once, which gives what batch by
+batch acceptance gives; `Ledger` takes one batch against what is stored, for both tables.
 
 The order of acceptance is (batch_number, key), null batches last. A null
 instruction, or one of under five distinct words, has no near copies; an unknown
@@ -36,9 +43,12 @@ from millrace.llm import nearset as ns
 from millrace.llm.p3_grouped_splits import catalogue, components, dataset_key
 from millrace.session import cut
 
-#: 16 classes are 4 fours, enough for 7 differences: 2n/9 < 8, i.e. sets of under 36 words.
-CLASSES, SPAN = 16, 36
-HOT = 200
+#: Four classes are enough for one difference, i.e. sets of under 9 words: 2n/9 < 2.
+CLASSES, SPAN = 4, 9
+#: Bits of a stored distance in the range key, and those of them behind the point.
+BITS, FRACTION = 18, 12
+#: Folders of each stored table, by range.
+PARTS = 64
 #: Fixed value: the SHA-256 digest of no bytes.
 EMPTY_DIGEST = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -53,12 +63,12 @@ def pivot_distances(words: np.ndarray, rows: np.ndarray, n: int, classes: int) -
 
 
 def levels(n: np.ndarray) -> np.ndarray:
-    """How often the classes are doubled for sets of n words: 2n/9 < 8 * 2**level."""
-    return np.floor(np.log2(np.maximum(n / SPAN, 0.5))).astype(int) + 1
+    """How often the classes are doubled for sets of n words: 2n/9 < 2 * 2**level."""
+    return np.maximum(np.floor(np.log2(np.maximum(n, 1) / SPAN)).astype(int) + 1, 0)
 
 
 def pivot_keys(sets: DataFrame) -> DataFrame:
-    """(key, sid, n, bm): a row of the pivot-distance table for each set and each three of each four pivots."""
+    """(key, sid, n, bm): a row of the pivot-distance table for each set and each three of each four pivots; key: their number and the distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,14 +80,14 @@ def pivot_keys(sets: DataFrame) -> DataFrame:
                 if not len(own):
                     continue
                 classes = CLASSES << lv
-                dist = pivot_distances(words, rows, len(n), classes)[own]
-                four = dist.reshape(len(own), classes // 4, 4)
+                four = np.minimum(pivot_distances(words, rows, len(n), classes)[own] >> np.uint64(32 - FRACTION), np.uint64((1 << BITS) - 1)).reshape(len(own), classes // 4, 4)
                 keys = []
                 for out in range(4):
-                    k = ns.mix(np.arange(classes // 4, dtype=np.uint64) * np.uint64(4) + np.uint64(out + (lv << 32)))[None, :]
+                    k = (np.arange(classes // 4, dtype=np.uint64) * np.uint64(4) + np.uint64(out + classes)) & np.uint64(1023)
+                    k = np.broadcast_to(k[None, :], four.shape[:2])
                     for c in range(4):
                         if c != out:
-                            k = ns.mix(k ^ four[:, :, c])
+                            k = k << np.uint64(BITS) | four[:, :, c]
                     keys.append(k)
                 key = np.stack(keys, 2).reshape(-1).view(np.int64)
                 at = pa.array(np.repeat(own, classes))
@@ -86,27 +96,13 @@ def pivot_keys(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, n int, bm long")
 
 
-def rare_keys(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, sid, n, bm): the sets that have hot keys, once each, under their rarest n - ceil(0.8 n) + 1 words, of which nearly equal sets share one."""
-    _, df = ns.frequent_words(sets, 0.001)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                words, rows = ns.rarest(b.column("words").flatten().to_numpy(), b.column("n").to_numpy(), df)
-                key = ns.mix(words.astype(np.int64).view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(pa.array(rows)) for c in ("sid", "n", "bm"))], names=["key", "sid", "n", "bm"])
-
-    return ns.semi(sets.select("sid", "n", "bm", "words"), cut(hot.select("sid").distinct()), "sid").mapInArrow(run, "key long, sid long, n int, bm long")
-
-
 def near_links(sets: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of classes that are nearly equal. sets: classes(); keys: their pivot table, if it is stored."""
-    shared = cut(ns.shared_keys(pivot_keys(sets) if keys is None else keys))
-    met = ns.pairs_in_keys(shared.filter(F.col("cnt") <= HOT))
-    hot = shared.filter(F.col("cnt") > HOT)
+    shared = ns.shared_keys(pivot_keys(sets) if keys is None else keys).persist(StorageLevel.MEMORY_AND_DISK)
+    met = ns.pairs_in_keys(shared.filter(F.col("cnt") <= ns.HOT))
+    hot = cut(shared.filter(F.col("cnt") > ns.HOT).select("sid").distinct())
     if not hot.isEmpty():
-        met = met.unionByName(ns.pairs_in_keys(ns.shared_keys(rare_keys(hot, sets)))).distinct()
+        met = met.unionByName(ns.rare_pairs(ns.rare_rows(ns.semi(sets, hot, "sid"), ns.word_counts(sets)))).distinct()
     return ns.alike(ns.with_words(met, sets)).select("a", "b")
 
 
@@ -138,7 +134,11 @@ def edit_records(pairs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataF
     src = pairs.select(F.col("sample_id").alias("record_id"), F.col("batch_number").cast("int").alias("batch"), dataset_key(F.col("dataset_id")).alias("dkey"), split.alias("sp"), F.when(idx >= 0, idx).alias("idx"), "instruction")
     sets = ns.word_sets(src, "instruction", "record_id", "batch", "dkey", "sp", "idx", every=True).persist(StorageLevel.MEMORY_AND_DISK)
     row = F.xxhash64("root", "sp", "idx")
-    flat = sets.select("record_id", "batch", "dkey", "sp", "idx", "sid").join(F.broadcast(dataset_roots(catalog)) if catalog.count() < 100_000 else dataset_roots(catalog), "dkey", "left")
+    roots = dataset_roots(catalog)
+    roots = F.broadcast(roots) if roots.limit(ns.SMALL + 1).count() <= ns.SMALL else roots
+    # rows without a dataset stay out of the join, so that they don't gather in one task
+    flat = sets.select("record_id", "batch", "dkey", "sp", "idx", "sid")
+    flat = flat.filter("dkey is not null").join(roots, "dkey", "left").unionByName(flat.filter("dkey is null").withColumn("root", F.lit(None).cast("long")))
     known = F.col("root").isNotNull() & F.col("sp").isNotNull() & F.col("idx").isNotNull()
     one = flat.select("record_id", F.struct(F.col("batch").isNull().alias("last"), "batch", F.when(known, row).alias("r"), "sid").alias("x")).groupBy("record_id").agg(F.min("x").alias("x"))
     return one.select("record_id", "x.batch", "x.r", "x.sid"), ns.classes(sets.filter("sid is not null"))
@@ -185,47 +185,85 @@ def edit_rejected(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def pool_rejected(pool: DataFrame) -> DataFrame:
     """Pool images that aren't accepted: those whose digest an earlier image has; images without bytes or digest are neither."""
+    return first_of(pool_records(pool))
+
+
+def pool_records(pool: DataFrame) -> DataFrame:
+    """(record_id, batch, digest) of pool images; digest is null where there is none or the image has no bytes."""
     d = F.when(F.col("image.bytes") > 0, digest(F.col("image.sha256")))
-    return first_of(pool.select(F.col("image_id").alias("record_id"), F.col("batch_number").cast("int").alias("batch"), d.alias("digest")))
+    return pool.select(F.col("image_id").alias("record_id"), F.col("batch_number").cast("int").alias("batch"), d.alias("digest"))
 
 
 class Ledger:
-    """Everything accepted so far, as tables in a folder; each new batch costs joins of its own rows with the stored keys.
+    """Everything accepted so far, as tables in a folder; a new batch is joined with the stored ranges that it touches.
 
-    keys: the pivot-distance table of accepted classes, range-partitioned and sorted by key; sets: their words;
-    rows: ids of accepted source rows. `accept` appends; nothing stored is rewritten or processed again.
+    keys: the pivot-distance table of accepted classes, by range of the key; sets: their words; rows: ids of accepted
+    source rows; digests: those of accepted pool images. Each table lies in PARTS folders by range of its key, and a batch
+    reads only the folders its own keys lie in. `accept` appends; nothing stored is rewritten or processed again.
     """
 
+    TABLES = {"keys": ("key", "key long, sid long, n int, bm long"), "sets": ("sid", "sid long, n int, bm long, words array<int>"), "rows": ("r", "r long"), "digests": ("h", "h long, digest string")}
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+    @staticmethod
+    def _part(key: str) -> Column:
+        """The folder of a 64-bit key: keys in order lie in folders in order."""
+        return F.shiftright(F.shiftright(F.col(key), 32).cast("int"), 32 - PARTS.bit_length() + 1)
+
+    def stored(self, name: str, near: DataFrame) -> DataFrame:
+        """The rows of a stored table in the folders that the keys of `near` lie in; at most PARTS numbers come to the driver."""
+        key, schema = self.TABLES[name]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        touched = [r[0] for r in near.select(self._part(key)).distinct().collect()]
+        return self.spark.read.schema(f"{schema}, part int").parquet(f"{self.folder}/{name}").filter(F.col("part").isin(touched)).drop("part")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        key = self.TABLES[name][0]
+        rows.withColumn("part", self._part(key)).repartitionByRange("part", key).sortWithinPartitions("part", key).write.mode("append").partitionBy("part").parquet(f"{self.folder}/{name}")
+
+    def _store(self, won: DataFrame, sets: DataFrame, keys: DataFrame) -> None:
+        new = won.filter("sid is not null").select("sid").distinct()
+        self.append("sets", sets.join(new, "sid", "left_semi").select("sid", "n", "bm", "words"))
+        self.append("keys", keys.join(new, "sid", "left_semi").select("key", "sid", "n", "bm"))
+        self.append("rows", won.filter("r is not null").select("r").distinct())
 
-    def _has(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/sets")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def load(self, pairs: DataFrame, catalog: DataFrame) -> None:
+        """Stores what is accepted of a whole history, replayed at once, into an empty ledger."""
+        records, sets = edit_records(pairs, catalog)
+        records, sets = cut(records), cut(sets)
+        keys = cut(pivot_keys(sets))
+        self._store(cut(records.join(rejected(records, near_links(sets, keys)), "record_id", "left_anti")), sets, keys)
 
     def accept(self, batch: DataFrame, catalog: DataFrame) -> DataFrame:
         """(record_id) of the batch's edit pairs that aren't accepted; the others are stored."""
         records, sets = edit_records(batch, catalog)
         records, sets = cut(records), cut(sets)
         keys = cut(pivot_keys(sets))
-        no = records.limit(0).select("record_id")
-        if self._has():
-            old_keys = self._read("keys", "key long, sid long, n int, bm long")
-            old_sets = self._read("sets", "sid long, n int, bm long, words array<int>")
-            met = keys.alias("a").join(old_keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") != F.col("b.sid")) & ns.close())
-            met = met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-            words = met.join(sets.select(F.col("sid").alias("a"), F.col("words").alias("wa")), "a").join(old_sets.select(F.col("sid").alias("b"), F.col("words").alias("wb")), "b")
-            near = ns.alike(words).select(F.col("a").alias("sid")).unionByName(sets.join(old_sets.select("sid"), "sid", "left_semi").select("sid"))
-            old_rows = self._read("rows", "r long").distinct()
-            no = cut(records.join(near.distinct(), "sid", "left_semi").select("record_id").unionByName(records.join(old_rows, "r", "left_semi").select("record_id")).distinct())
+        met = keys.alias("a").join(self.stored("keys", keys).alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") != F.col("b.sid")) & ns.close())
+        met = cut(met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
+        old = self.stored("sets", met.select(F.col("b").alias("sid")))
+        words = met.join(sets.select(F.col("sid").alias("a"), F.col("words").alias("wa")), "a").join(old.select(F.col("sid").alias("b"), F.col("words").alias("wb")), "b")
+        same = self.stored("sets", sets).select("sid")
+        near = ns.alike(words).select(F.col("a").alias("sid")).unionByName(sets.select("sid").join(same, "sid", "left_semi"))
+        known = records.filter("r is not null")
+        no = records.join(near.distinct(), "sid", "left_semi").select("record_id").unionByName(known.join(self.stored("rows", known), "r", "left_semi").select("record_id"))
+        no = cut(no.distinct())
         rest = cut(records.join(no, "record_id", "left_anti"))
         no = cut(no.unionByName(rejected(rest, near_links(sets, keys))).distinct())
-        won = cut(records.join(no, "record_id", "left_anti"))
-        new = won.filter("sid is not null").select("sid").distinct()
-        sets.join(new, "sid", "left_semi").write.mode("append").parquet(f"{self.folder}/sets")
-        keys.join(new, "sid", "left_semi").repartitionByRange("key").sortWithinPartitions("key").write.mode("append").parquet(f"{self.folder}/keys")
-        won.filter("r is not null").select("r").distinct().write.mode("append").parquet(f"{self.folder}/rows")
+        self._store(cut(records.join(no, "record_id", "left_anti")), sets, keys)
+        return no
+
+    def accept_pool(self, batch: DataFrame) -> DataFrame:
+        """(record_id) of the batch's pool images that aren't accepted; the digests of the others are stored."""
+        records = cut(pool_records(batch).withColumn("h", F.xxhash64("digest")))
+        some = records.filter("digest is not null")
+        no = some.join(self.stored("digests", some).select("digest"), "digest", "left_semi").select("record_id").distinct()
+        no = cut(no)
+        rest = records.join(no, "record_id", "left_anti")
+        no = cut(no.unionByName(first_of(rest)).distinct())
+        self.append("digests", some.join(no, "record_id", "left_anti").select("h", "digest").distinct())
         return no

@@ -1,16 +1,21 @@
 """Problem 4: near-duplicate records with small edits.
 
 Improved consistent weighted sampling (Ioffe 2010) over TF-IDF shingles, banded,
-verified by the exact test and by weighted Jaccard similarity.
+verified by weighted Jaccard similarity and confirmed by the exact test.
 
 - Shingle: one word as read, since order counts for nothing in what "nearly the
   same" means here (TESTDATA.md); term frequency is presence, for the same reason.
-- Weight: ln(1 + N / max(df, SHARE * N)); all documents count for df.
-- Sampling: HASHES = BANDS * ROWS samples a set; r and c are Gamma(2, 1) and beta
-  uniform, each a fixed function of word and sample. Equal samples of two sets
-  occur with the probability of their weighted Jaccard similarity.
-- Bands miss pairs whose common words weigh little, so each set also goes under its
-  rarest words (prefix filter), of which nearly equal sets share one: no pair is missed.
+- Weight: 1 for a word of all texts, rising with idf to RATIO for words in SHARE of
+  the texts or fewer. Sets of Jaccard similarity 0.8 then have a weighted one of at
+  least 0.8 / (0.8 + 0.2 RATIO) = 0.762, the threshold of the weighted check; all
+  documents count for idf. A full idf, ln(N / df), would draw that floor down to
+  0.3 and with it the chance that bands find a pair whose common words are frequent.
+- Sampling: BANDS * ROWS samples a set; r and c are Gamma(2, 1) and beta uniform,
+  each a fixed function of word and sample. Equal samples of two sets occur with the
+  probability of their weighted similarity w, so a pair is missed with the chance
+  (1 - w ** ROWS) ** BANDS: 3e-4 at the floor, 1e-6 at 0.85.
+- A band key held by more than nearset.HOT classes isn't split at random: its
+  classes go under their rarest words (prefix filter with places), which loses none of their pairs.
 - Classes of one word set are one node; records without five distinct words, and
   null or blank texts, are in no pair and form groups of their own. A record
   delivered twice counts once. Ties and repeated rows change nothing.
@@ -27,26 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import nearset as ns
+from millrace.session import cut
 
-#: Words in a smaller share of the texts weigh as if in this share, so an odd word weighs at most ln(101) / ln(2) = 6.7 times a common one.
+#: Words in a smaller share of the texts weigh as if in this share.
 SHARE = 0.01
-ROWS, BANDS = 4, 24
-#: Words in a smaller share of the texts aren't counted for the prefix filter, but taken as the rarest.
-RARE = 0.001
-#: Weighted Jaccard similarity that a candidate needs before the exact test. With these weights it can't be below 0.375 if the word similarity is 0.8.
-WEIGHTED = 0.37
+#: What the rarest words weigh, if words of all texts weigh 1.
+RATIO = 1.25
+ROWS, BANDS = 4, 20
+#: Least weighted Jaccard similarity of a near-duplicate.
+WEIGHTED = 0.8 / (0.8 + 0.2 * RATIO)
 
 
-def weights(words: np.ndarray, n: int, share: float, df: dict[int, int]) -> np.ndarray:
-    """The idf weight of each word (a 32-bit number)."""
-    known = np.fromiter(df, np.int64, len(df))
-    order = np.argsort(known)
-    known, count = known[order], np.fromiter(df.values(), np.float64, len(df))[order]
-    low = np.full(len(words), max(1.0, share * n))
-    if len(known):
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        low = np.where(known[at] == words, np.maximum(low, count[at]), low)
-    return np.log1p(n / low)
+def weights(words: np.ndarray, n: int, counts: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """The idf weight of each word (a 32-bit number): 1 to RATIO. counts: of nearset.word_counts over n texts."""
+    part = np.clip(ns.often(words, counts) / max(n, 1), share, 1.0)
+    return 1 + (RATIO - 1) * np.log(part) / np.log(share)
 
 
 def samples(words: np.ndarray, weight: np.ndarray, at: int) -> np.ndarray:
@@ -60,8 +60,9 @@ def samples(words: np.ndarray, weight: np.ndarray, at: int) -> np.ndarray:
     return value.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | prints
 
 
-def band_keys(sets: DataFrame, n: int, df: dict[int, int], share: float = SHARE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(key, sid, n, bm): a row for each class and band. The df table shipped is bounded by `nearset.frequent_words`."""
+def band_keys(sets: DataFrame, n: int, counts: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(key, sid, n, bm): a row for each class and band."""
+    shipped = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,7 +72,7 @@ def band_keys(sets: DataFrame, n: int, df: dict[int, int], share: float = SHARE,
             sizes = b.column(1).to_numpy()
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             each, at = np.unique(words, return_inverse=True)
-            w = weights(each, n, share, df)
+            w = weights(each, n, shipped.value)
             keys = np.zeros((bands, b.num_rows), np.uint64)
             for band in range(bands):
                 for row in range(rows):
@@ -85,45 +86,35 @@ def band_keys(sets: DataFrame, n: int, df: dict[int, int], share: float = SHARE,
     return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, n int, bm long")
 
 
-def rare_keys(sets: DataFrame) -> DataFrame:
-    """(key, sid, n, bm): a row for each class and each of its rarest n - ceil(0.8 n) + 1 words."""
-    _, df = ns.frequent_words(sets, RARE)
+def verified(pairs: DataFrame, n: int, counts: np.ndarray) -> DataFrame:
+    """(a, b, both, wsim): the pairs of sets wa and wb whose weighted Jaccard similarity `wsim` is WEIGHTED or more, confirmed by the exact test."""
+    shipped = pairs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                words, rows = ns.rarest(b.column("words").flatten().to_numpy(), b.column("n").to_numpy(), df)
-                key = ns.mix(words.astype(np.int64).view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(pa.array(rows)) for c in ("sid", "n", "bm"))], names=["key", "sid", "n", "bm"])
-
-    return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, n int, bm long")
-
-
-def weighted_similarity(pairs: DataFrame, n: int, df: dict[int, int], share: float = SHARE) -> DataFrame:
-    """Pairs with words, with their weighted Jaccard similarity `wsim`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True):
-                x, y = np.array(x), np.array(y)
-                either = np.union1d(x, y)
-                w = weights(either, n, share, df)
-                out.append(float(w[np.isin(either, x) & np.isin(either, y)].sum() / w.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "wsim"])
-
-    return pairs.mapInArrow(run, "a long, b long, both int, wa array<int>, wb array<int>, wsim double")
-
-
-def near_links(sets: DataFrame, share: float = SHARE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """Pairs (a, b) of classes whose word sets are nearly equal, with `both` and `wsim`; sets: classes()."""
-    n, df = ns.frequent_words(sets, share)
+            m = b.num_rows
+            left, lrow, right, rrow, common = ns.shared_words(b)
+            lw, rw = weights(left, n, shipped.value), weights(right, n, shipped.value)
+            same = np.bincount(lrow, lw * common, m)
+            wsim = same / np.maximum(np.bincount(lrow, lw, m) + np.bincount(rrow, rw, m) - same, 1e-9)
+            both = np.bincount(lrow, common, m).astype(np.int64)
+            either = np.bincount(lrow, minlength=m) + np.bincount(rrow, minlength=m) - both
+            at = np.flatnonzero((wsim >= WEIGHTED - 1e-9) & (both * 10 >= either * ns.TENTHS))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(both[at].astype(np.int32)), pa.array(wsim[at])], names=["a", "b", "both", "wsim"])
+
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, both int, wsim double")
+
+
+def near_links(sets: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """Pairs (a, b) of classes whose word sets are nearly equal, with `both` and `wsim`; sets: classes(), kept."""
+    n, counts = sets.count(), ns.word_counts(sets)
     # kept, as both sides of the join are this one table, already partitioned and sorted by key
-    shared = ns.shared_keys(band_keys(sets, n, df, share, rows, bands).unionByName(rare_keys(sets))).persist(StorageLevel.MEMORY_AND_DISK)
-    found = ns.pairs_in_keys(shared)
-    # the exact test goes first, as it runs in the JVM and no pair that passes it has less than WEIGHTED
-    near = ns.alike(ns.with_words(found, sets)).select("a", "b", "both", "wa", "wb")
-    return weighted_similarity(near, n, df, share).filter(F.col("wsim") >= WEIGHTED).select("a", "b", "both", "wsim")
+    shared = ns.shared_keys(band_keys(sets, n, counts, rows, bands)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = ns.pairs_in_keys(shared.filter(F.col("cnt") <= ns.HOT))
+    hot = cut(shared.filter(F.col("cnt") > ns.HOT).select("sid").distinct())
+    if not hot.isEmpty():
+        found = found.unionByName(ns.rare_pairs(ns.rare_rows(ns.semi(sets, hot, "sid"), counts))).distinct()
+    return verified(ns.with_words(found, sets), n, counts)
 
 
 def near_pairs(records: DataFrame, key: str = "task_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,17 @@ from millrace.llm import p4_near_duplicates as p4
 from millrace.llm import p5_encoding as p5
 from millrace.llm import p6_leakage as p6
 from millrace.llm import p7_quality as p7
-from millrace.session import cut, table
+from millrace.session import cut, shared_dir, table
 
 SEEDS, TASKS, PAIRS, POOL = "real_seed_prompts_v2_seed", "tasks_v1_refined_pilot3", "real_edit_pairs_rejected_v2_hf150", "wikimedia_source_pool_v2_seed"
 
+#: Fixed values of these tables: the sentences that stand for a target yet to come.
+STANDING = (
+    "Target is still to be rendered by the editor and then checked against the list.",
+    "No target text yet, the reviewer fills this in after the first render.",
+    "Pending: see the checklist of the task for what the result has to show.",
+)
+
 
 def _instructions(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, TASKS).select("task_id", F.col("refined.instruction").alias("text"))
@@ -26,17 +35,17 @@ def _instructions(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and an evaluation record with nearly the same instruction or target."""
-    return p1.found(table(spark, d, SEEDS))
+    return p1.found(table(spark, d, SEEDS), STANDING)
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Cross-split pairs by evaluation split and source."""
-    return p1.report(table(spark, d, SEEDS))
+    return p1.report(table(spark, d, SEEDS), STANDING)
 
 
 def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How much of each evaluation text lies in chunks that training texts have."""
-    return p1.record_overlap(table(spark, d, SEEDS))
+    return p1.record_overlap(table(spark, d, SEEDS), STANDING)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +54,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.unionByName(p2.pool_rejected(table(spark, d, POOL))).distinct()
 
 
+def p2_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Of both tables the records of the last batch that aren't accepted: a ledger of all batches before, and one batch taken against it."""
+    pairs, pool, catalog = table(spark, d, PAIRS), table(spark, d, POOL), table(spark, d, "source_catalog")
+    ledger = p2.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    out = None
+    for rows, load, accept in ((pairs, lambda x: ledger.load(x, catalog), lambda x: ledger.accept(x, catalog)), (pool, ledger.accept_pool, ledger.accept_pool)):
+        last = rows.agg(F.max("batch_number")).first()[0]
+        load(rows.filter(F.col("batch_number") < last))
+        no = accept(rows.filter(F.col("batch_number") == last))
+        out = no if out is None else out.unionByName(no)
+    return out.distinct()
+
+
+def p2_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Pool images that aren't accepted."""
+    return p2.pool_rejected(table(spark, d, POOL))
+
+
 def p2_batches(spark: SparkSession, d: str) -> DataFrame:
     """Records, and records not accepted, of each table and batch."""
     rows = table(spark, d, PAIRS).select(F.lit("pairs").alias("source_table"), F.col("sample_id").alias("record_id"), "batch_number")
@@ -122,7 +149,7 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_statistics": p7_statistics}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_latest": p2_latest, "p2_pool": p2_pool, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_statistics": p7_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ from millrace.llm import p4_near_duplicates as p4
 from millrace.llm import p5_encoding as p5
 from millrace.llm import p6_leakage as p6
 from millrace.llm import p7_quality as p7
+from millrace.llm import queries as q
 
 NOUNS = [f"{a}{b}" for a in ("lamp", "chair", "tree", "boat", "stone", "cloud", "bridge", "fence", "wheel", "glass") for b in ("", "s", "let", "wood", "side", "work")]
 
@@ -93,6 +94,24 @@ def test_p4_pairs_that_no_band_has(spark):
     assert len(want) == 120 * 119 // 2 and pairs(p4.near_pairs(spark.createDataFrame(rows, "task_id string, text string"))) == want
 
 
+def test_p4_hot_bands_of_a_template(spark):
+    """400 pairs of a template of 22 words, two words of the pair and three of each record: only those of a pair are true, all bands are hot."""
+    template = [f"t{i}" for i in range(22)]
+    rows = [(f"k{i:03d}{s}", " ".join([*template, f"p{i}x", f"p{i}y", *(f"o{i}{s}{j}" for j in range(3))])) for i in range(400) for s in "ab"]
+    assert pairs(p4.near_pairs(spark.createDataFrame(rows, "task_id string, text string"))) == {(f"k{i:03d}a", f"k{i:03d}b") for i in range(400)}
+
+
+def test_p4_weighted_similarity_has_a_floor():
+    import numpy as np
+
+    counts = np.zeros(1 << ns.COUNT_BITS, np.int32)
+    counts[:40] = 1000
+    w = p4.weights(np.arange(50, dtype=np.int32), 1000, counts)
+    assert w[0] == 1 and abs(w[45] - p4.RATIO) < 1e-9
+    assert abs(8 * w[0] / (8 * w[0] + 2 * w[45]) - p4.WEIGHTED) < 1e-9
+    assert (1 - p4.WEIGHTED**p4.ROWS) ** p4.BANDS < 3e-4
+
+
 def test_p4_samples_estimate_weighted_similarity():
     import numpy as np
 
@@ -111,27 +130,63 @@ def test_p1_is_brute_force(spark):
     r = rng(1)
     base = corpus(11, 120)
     splits = ["sft_train", "SFT_Train ", "sft_val", "bench_test", "hard_heldout", "rl_prompt_train", None]
-    targets = [r.choice([p1.STANDING[0], p1.STANDING[1].upper(), None, ""]) if r.random() < 0.6 else t for _, t in corpus(12, 120)]
+    targets = [r.choice([q.STANDING[0], q.STANDING[1].upper(), None, ""]) if r.random() < 0.6 else t for _, t in corpus(12, 120)]
     rows = [(k, r.choice(splits), t, u) for (k, t), u in zip(base, targets, strict=True)]
     side = {k: None if s is None else {"sft_train": True, "rl_prompt_train": None}.get(s.strip().lower(), False) for k, s, _, _ in rows}
     want = set()
     for field in (2, 3):
-        standing = [set(read_words(s)) for s in p1.STANDING]
+        standing = [set(read_words(s)) for s in q.STANDING]
         texts = [(x[0], x[field]) for x in rows if field == 2 or set(read_words(x[3])) not in standing]
         want |= {(a, b) for a, b in near_pairs(texts) if {side[a], side[b]} == {True, False}}
     df = clash(spark.createDataFrame(rows + rows[:30], "task_id string, split string, instruction string, expected_target string"))
-    got = pairs(p1.found(df))
+    got = pairs(p1.found(df, q.STANDING))
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 15
     assert p1.found(df.limit(0)).count() == 0
-    report = p1.report(df.withColumn("source", F.lit("s"))).collect()
+    report = p1.report(df.withColumn("source", F.lit("s")), q.STANDING).collect()
     assert sum(x["pairs"] for x in report) == len(got)
-    o = p1.record_overlap(df).collect()
+    o = p1.record_overlap(df, q.STANDING).collect()
     assert all(0 <= x["fraction"] <= 1 for x in o)
 
 
+def test_p1_hot_short_templates(spark):
+    """Six templates of eight words, each in 240 records with one word of their own: all pairs are true, most chunks are hot."""
+    r = rng(17)
+    rows, want = [], 0
+    for t in range(6):
+        words = [f"t{t}w{i}" for i in range(8)]
+        for i in range(240):
+            w = list(words)
+            w.insert(r.randrange(9), f"own{t}x{i}")
+            rows.append((f"k{t}{i:03d}", "sft_val" if i < 10 else "sft_train", " ".join(w), None))
+        want += 10 * 230
+    got = pairs(p1.found(spark.createDataFrame(rows, "task_id string, split string, instruction string, expected_target string")))
+    assert len(got) == want == 13_800
+
+
+def test_p1_chunks_survive_edits():
+    """Of pairs with as many changed words as nearly equal texts can have, next to none lose all chunks of both cuts."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n, most in ((9, 0), (17, 0), (31, 0), (33, 3), (48, 3), (64, 6)):
+        lost = 0
+        for _ in range(400):
+            a = r.integers(-(2**31), 2**31, n).astype(np.int32)
+            b = a.copy()
+            b[r.choice(n, n // 9, replace=False)] = r.integers(-(2**31), 2**31, n // 9)
+            seq, ends, level = np.concatenate([a, b]), np.array([0, n, 2 * n]), p1.levels(np.array([n, n]))
+            shared = 0
+            for seed in p1.SEEDS:
+                begin, stop, row = p1.chunks(seq, ends, level, seed)
+                d = p1.digests(seq, begin, stop)
+                shared += len(np.intersect1d(d[row == 0], d[row == 1]))
+            lost += not shared
+        assert lost <= most
+
+
 def test_p1_hot_chunks_are_grown(spark, monkeypatch):
     """With every digest hot at once, runs of chunks still find the pairs."""
-    monkeypatch.setattr(p1, "HOT", 1)
+    monkeypatch.setattr(ns, "HOT", 1)
     r = rng(9)
     base = [sentence(r) for _ in range(40)]
     rows = [(f"a{i:03d}", "sft_train", t, None) for i, t in enumerate(base)] + [(f"b{i:03d}", "sft_val", t + " final", None) for i, t in enumerate(base)]
@@ -142,7 +197,7 @@ def test_p1_hot_chunks_are_grown(spark, monkeypatch):
 @pytest.mark.parametrize("words", [10, 12, 20])
 def test_p1_hot_template_loses_nothing(spark, monkeypatch, words):
     """All chunks are those of one template, and an edit leaves no long run of them."""
-    monkeypatch.setattr(p1, "HOT", 5)
+    monkeypatch.setattr(ns, "HOT", 5)
     r = rng(words)
     base = r.sample(NOUNS, words)
     texts = []
@@ -196,7 +251,7 @@ def test_p2_replays_all_batches(spark):
 
 
 def test_p2_hot_keys_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(p2, "HOT", 1)
+    monkeypatch.setattr(ns, "HOT", 1)
     rows = edit_pairs(7)
     assert {r[0] for r in p2.edit_rejected(spark.createDataFrame(rows, PAIR), catalog(spark)).collect()} == replay(rows)
 
@@ -220,6 +275,30 @@ def test_p2_ledger_is_the_replay(spark, tmp_path):
     for b in (1, 2, 3):
         got |= {r[0] for r in ledger.accept(spark.createDataFrame([x for x in rows if x[1] == b], PAIR), catalog(spark)).collect()}
     assert got == replay(rows)
+    other = p2.Ledger(spark, str(tmp_path / "loaded"))
+    other.load(spark.createDataFrame([x for x in rows if x[1] < 3], PAIR), catalog(spark))
+    last = {r[0] for r in other.accept(spark.createDataFrame([x for x in rows if x[1] == 3], PAIR), catalog(spark)).collect()}
+    assert last == {k for k in got if dict((x[0], x[1]) for x in rows)[k] == 3}
+
+
+def test_p2_ledger_reads_the_ranges_a_batch_touches(spark, tmp_path):
+    rows = [x for x in edit_pairs(31) if x[1] is not None]
+    ledger = p2.Ledger(spark, str(tmp_path))
+    ledger.load(spark.createDataFrame(rows, PAIR), catalog(spark))
+    whole = ledger._part("key")
+    kept = spark.read.schema("key long, sid long, n int, bm long").parquet(f"{tmp_path}/keys")
+    one = kept.limit(1)
+    assert ledger.stored("keys", one).count() == kept.filter(whole == one.select(whole).first()[0]).count() < kept.count() / 4
+    assert ledger.stored("keys", one.limit(0)).count() == 0
+
+
+def test_p2_ledger_of_pool_images(spark, tmp_path):
+    rows = [(f"i{i}", 1 + i % 3, (f"{i % 7:064x}" if i % 5 else None, 5)) for i in range(40)]
+    schema = "image_id string, batch_number int, image struct<sha256:string,bytes:bigint>"
+    ledger, got = p2.Ledger(spark, str(tmp_path)), set()
+    for b in (1, 2, 3):
+        got |= pairs(ledger.accept_pool(spark.createDataFrame([x for x in rows if x[1] == b], schema)))
+    assert got == pairs(p2.pool_rejected(spark.createDataFrame(rows, schema)))
 
 
 def test_p2_pool(spark):
