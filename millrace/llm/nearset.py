@@ -64,10 +64,10 @@ def flat_sets(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set: its id, a 64-bit bitmap of its members, and its members as sorted 32-bit numbers."""
+    """Of each set: its id, a bitmap of its members (54 bits, above its size in 10 bits, 1,023 for more), and its members as sorted 32-bit numbers."""
     with np.errstate(over="ignore"):
         sid = mix(np.add.reduceat(mix(flat), starts[:-1]))
-    bitmap = np.bitwise_or.reduceat(np.uint64(1) << (flat >> np.uint64(58)), starts[:-1])
+    bitmap = np.bitwise_or.reduceat(np.uint64(1) << ((flat >> np.uint64(40)) % np.uint64(54) + np.uint64(10)), starts[:-1]) | np.minimum(np.diff(starts), 1023).astype(np.uint64)
     row = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
     short = (np.sort(row << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
     return sid.view(np.int64), bitmap.view(np.int64), short
@@ -124,9 +124,13 @@ def classes(sets: DataFrame, *also: str) -> DataFrame:
 
 
 def close(a: str = "a", b: str = "b"):
-    """What every pair of nearly equal sets fulfils, by sizes and bitmaps alone: each bit that differs stands for a word that differs."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.bm").bitwiseXOR(F.col(f"{b}.bm")))
+    """What every pair of nearly equal sets fulfils, by sizes and bitmaps (`bm`) alone: each bit that differs stands for a word that differs.
+
+    A size that is cut at 1,023 refuses no pair: it is no larger than it is, and the bits of so many words are all set.
+    """
+    x, y = F.col(f"{a}.bm"), F.col(f"{b}.bm")
+    na, nb = x.bitwiseAND(1023), y.bitwiseAND(1023)
+    apart = F.bit_count(F.shiftrightunsigned(x.bitwiseXOR(y), 10))
     return (na * 10 >= nb * TENTHS) & (nb * 10 >= na * TENTHS) & (apart * (10 + TENTHS) <= (na + nb) * (10 - TENTHS))
 
 
@@ -136,7 +140,7 @@ def shared_keys(keyed: DataFrame, *also: str) -> DataFrame:
 
 
 def pairs_in_keys(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes that share a key and pass the bitmap test; rows: key, sid, n, bm.
+    """Distinct pairs (a, b), a < b, of classes that share a key and pass the bitmap test; rows: key, sid, bm.
 
     A merge join streams each key's rows, so no key's pairs are ever held; those that the test refuses leave the join at once.
     """

@@ -109,7 +109,7 @@ def side_classes(sets: DataFrame) -> DataFrame:
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """(key, sid, n, bm, side, size): the chunks of each class at its level, by both hashes, and at that of its longest partner; size: words in it."""
+    """(key, sid, bm, side, size): the chunks of each class at its level, by both hashes, and at that of its longest partner; size: words in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,9 +133,9 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
                     first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
                     at = pa.array(row[first])
                     if first.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), *(b.column(c).take(at) for c in ("sid", "n", "bm", "side")), pa.array(size[first].astype(np.int32))], names=["key", "sid", "n", "bm", "side", "size"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), *(b.column(c).take(at) for c in ("sid", "bm", "side")), pa.array(size[first].astype(np.int32))], names=["key", "sid", "bm", "side", "size"])
 
-    return classes.select("seq", "sid", "n", "bm", "side", "field").mapInArrow(run, "key long, sid long, n int, bm long, side int, size int")
+    return classes.select("seq", "sid", "n", "bm", "side", "field").mapInArrow(run, "key long, sid long, bm long, side int, size int")
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def cross_links(classes: DataFrame) -> DataFrame:
     a, b = few.filter("side <> 2").alias("a"), few.filter("side <> 1").alias("b")
     met = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") != F.col("b.sid")) & ns.close())
     # each pair was cut by both hashes, under one or two levels
-    sums = met.groupBy(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).agg(F.sum("a.size").alias("words"), F.first(F.least("a.n", "b.n")).alias("n"))
+    sums = met.groupBy(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).agg(F.sum("a.size").alias("words"), F.first(F.least(F.col("a.bm").bitwiseAND(1023), F.col("b.bm").bitwiseAND(1023))).alias("n"))
     pairs = sums.filter(F.col("words") >= F.col("n") * OVERLAP).select("a", "b")
     hot = cut(shared.filter(F.col("cnt") > ns.HOT).select("sid").distinct())
     if not hot.isEmpty():

@@ -68,7 +68,7 @@ def levels(n: np.ndarray) -> np.ndarray:
 
 
 def pivot_keys(sets: DataFrame) -> DataFrame:
-    """(key, sid, n, bm): a row of the pivot-distance table for each set and each three of each four pivots; key: their number and the distances."""
+    """(key, sid, bm): a row of the pivot-distance table for each set and each three of each four pivots; key: their number and the distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,9 +91,9 @@ def pivot_keys(sets: DataFrame) -> DataFrame:
                     keys.append(k)
                 key = np.stack(keys, 2).reshape(-1).view(np.int64)
                 at = pa.array(np.repeat(own, classes))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(k).take(at) for k in range(3))], names=["key", "sid", "n", "bm"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(k).take(at) for k in (0, 2))], names=["key", "sid", "bm"])
 
-    return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, n int, bm long")
+    return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, bm long")
 
 
 def near_links(sets: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -202,7 +202,7 @@ class Ledger:
     reads only the folders its own keys lie in. `accept` appends; nothing stored is rewritten or processed again.
     """
 
-    TABLES = {"keys": ("key", "key long, sid long, n int, bm long"), "sets": ("sid", "sid long, n int, bm long, words array<int>"), "rows": ("r", "r long"), "digests": ("h", "h long, digest string")}
+    TABLES = {"keys": ("key", "key long, sid long, bm long"), "sets": ("sid", "sid long, n int, bm long, words array<int>"), "rows": ("r", "r long"), "digests": ("h", "h long, digest string")}
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -228,7 +228,7 @@ class Ledger:
     def _store(self, won: DataFrame, sets: DataFrame, keys: DataFrame) -> None:
         new = won.filter("sid is not null").select("sid").distinct()
         self.append("sets", sets.join(new, "sid", "left_semi").select("sid", "n", "bm", "words"))
-        self.append("keys", keys.join(new, "sid", "left_semi").select("key", "sid", "n", "bm"))
+        self.append("keys", keys.join(new, "sid", "left_semi").select("key", "sid", "bm"))
         self.append("rows", won.filter("r is not null").select("r").distinct())
 
     def load(self, pairs: DataFrame, catalog: DataFrame) -> None:

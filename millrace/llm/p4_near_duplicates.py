@@ -13,7 +13,7 @@ verified by weighted Jaccard similarity and confirmed by the exact test.
 - Sampling: BANDS * ROWS samples a set; r and c are Gamma(2, 1) and beta uniform,
   each a fixed function of word and sample. Equal samples of two sets occur with the
   probability of their weighted similarity w, so a pair is missed with the chance
-  (1 - w ** ROWS) ** BANDS: 3e-4 at the floor, 1e-6 at 0.85.
+  (1 - w ** ROWS) ** BANDS: 8e-4 at the floor, 2e-6 at 0.85.
 - A band key held by more than nearset.HOT classes isn't split at random: its
   classes go under their rarest words (prefix filter with places), which loses none of their pairs.
 - Classes of one word set are one node; records without five distinct words, and
@@ -38,7 +38,7 @@ from millrace.session import cut
 SHARE = 0.01
 #: What the rarest words weigh, if words of all texts weigh 1.
 RATIO = 1.25
-ROWS, BANDS = 4, 20
+ROWS, BANDS = 5, 24
 #: Least weighted Jaccard similarity of a near-duplicate.
 WEIGHTED = 0.8 / (0.8 + 0.2 * RATIO)
 
@@ -61,15 +61,15 @@ def samples(words: np.ndarray, weight: np.ndarray, at: int) -> np.ndarray:
 
 
 def band_keys(sets: DataFrame, n: int, counts: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(key, sid, n, bm): a row for each class and band."""
+    """(key, sid, bm): a row for each class and band."""
     shipped = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            words = b.column(3).flatten().to_numpy()
-            sizes = b.column(1).to_numpy()
+            lists = b.column(2)
+            words, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             each, at = np.unique(words, return_inverse=True)
             w = weights(each, n, shipped.value)
@@ -80,10 +80,10 @@ def band_keys(sets: DataFrame, n: int, counts: np.ndarray, rows: int = ROWS, ban
                     keys[band] = ns.mix(keys[band] ^ (least & np.uint64(0xFFFFFFFF)))
                 keys[band] ^= ns.mix(np.full(1, band, np.uint64))
             again = np.tile(np.arange(b.num_rows), bands)
-            rest = [b.column(k).take(pa.array(again)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *rest], names=["key", "sid", "n", "bm"])
+            rest = [b.column(k).take(pa.array(again)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *rest], names=["key", "sid", "bm"])
 
-    return sets.select("sid", "n", "bm", "words").mapInArrow(run, "key long, sid long, n int, bm long")
+    return sets.select("sid", "bm", "words").mapInArrow(run, "key long, sid long, bm long")
 
 
 def verified(pairs: DataFrame, n: int, counts: np.ndarray) -> DataFrame:

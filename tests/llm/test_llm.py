@@ -109,7 +109,7 @@ def test_p4_weighted_similarity_has_a_floor():
     w = p4.weights(np.arange(50, dtype=np.int32), 1000, counts)
     assert w[0] == 1 and abs(w[45] - p4.RATIO) < 1e-9
     assert abs(8 * w[0] / (8 * w[0] + 2 * w[45]) - p4.WEIGHTED) < 1e-9
-    assert (1 - p4.WEIGHTED**p4.ROWS) ** p4.BANDS < 3e-4
+    assert (1 - p4.WEIGHTED**p4.ROWS) ** p4.BANDS < 1e-3
 
 
 def test_p4_samples_estimate_weighted_similarity():
@@ -286,7 +286,7 @@ def test_p2_ledger_reads_the_ranges_a_batch_touches(spark, tmp_path):
     ledger = p2.Ledger(spark, str(tmp_path))
     ledger.load(spark.createDataFrame(rows, PAIR), catalog(spark))
     whole = ledger._part("key")
-    kept = spark.read.schema("key long, sid long, n int, bm long").parquet(f"{tmp_path}/keys")
+    kept = spark.read.schema("key long, sid long, bm long").parquet(f"{tmp_path}/keys")
     one = kept.limit(1)
     assert ledger.stored("keys", one).count() == kept.filter(whole == one.select(whole).first()[0]).count() < kept.count() / 4
     assert ledger.stored("keys", one.limit(0)).count() == 0
