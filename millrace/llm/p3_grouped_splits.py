@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,17 +23,13 @@ from millrace.functions.asread import read_words
 from millrace.session import cut
 
 #: Authors, as read, who aren't known.
-NOBODY = frozenset(
-    """
-    unknown|unknown author|unknown artist|unknown photographer|unknown creator|author unknown|artist unknown|photographer unknown
-    anonymous|anon|author not given|artist not given|not given|name not given|author not known|not known|no author|no artist
-    n a|na|none|null|nil|nobody|not available|not stated|not specified|unspecified|unnamed|unidentified|author not stated|author not specified
-    """.replace("\n", "|").replace("    ", "").split("|")
-) | {""}
+NOBODY = frozenset([
+    "", "unknown", "unknown author", "unknown artist", "unknown photographer", "unknown creator", "author unknown", "artist unknown", "photographer unknown",
+    "anonymous", "anon", "author not given", "artist not given", "not given", "name not given", "author not known", "not known", "no author", "no artist",
+    "n a", "na", "none", "null", "nil", "nobody", "not available", "not stated", "not specified", "unspecified", "unnamed", "unidentified", "author not stated", "author not specified",
+])
 
 SPLITS = ("train", "validation", "test")
-#: Bits of the subset-sum sets, 4 MB on the driver for each item.
-MAX_BITS = 1 << 22
 
 
 def file_key(path: Column) -> Column:
@@ -117,13 +114,19 @@ def catalogue(catalog: DataFrame) -> DataFrame:
     return catalog.select(own.alias("dkey"), d(own).alias("d"), d(up).alias("up")).filter("dkey is not null")
 
 
+def _left(df: DataFrame, other: DataFrame, key: str, **added: str) -> DataFrame:
+    """The left join by `key`; rows whose key is null stay out of it, so that they don't gather in one task. added: columns of `other`, with types."""
+    none = df.filter(F.col(key).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in added.items()})
+    return df.filter(F.col(key).isNotNull()).join(other.select(key, *added), key, "left").unionByName(none)
+
+
 def related(seeds: DataFrame, pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     """(record_id, kind, root): every record of both tables and its component; root is null where nothing can join it."""
     values = cut(seed_values(seeds))
     entries = catalogue(catalog)
     known = entries.select("d").distinct()
     used = pairs.select(F.col("sample_id").alias("record_id"), dataset_key(F.col("dataset_id")).alias("dkey")).distinct()
-    used = used.join(entries.select("dkey", "d").distinct(), "dkey", "left").select("record_id", "d")
+    used = _left(used, entries.select("dkey", "d").distinct(), "dkey", d="long").select("record_id", "d")
     edges = (
         values.filter("f is not null or w is not null").select(F.coalesce("f", "w").alias("a"), F.coalesce("w", "f").alias("b")).distinct()
         .unionByName(entries.join(known.select(F.col("d").alias("up"), F.lit(True).alias("_in")), "up", "left").select(F.col("d").alias("a"), F.when(F.col("_in"), F.col("up")).otherwise(F.col("d")).alias("b")).distinct())
@@ -131,47 +134,75 @@ def related(seeds: DataFrame, pairs: DataFrame, catalog: DataFrame) -> DataFrame
     roots = cut(components(edges))
     one = values.select("record_id", F.lit("seed").alias("kind"), F.coalesce("f", "w").alias("v"))
     two = used.select("record_id", F.lit("pair").alias("kind"), F.col("d").alias("v"))
-    return one.unionByName(two).join(roots, "v", "left").select("record_id", "kind", "root").distinct()
+    return _left(one.unionByName(two), roots, "v", root="long").select("record_id", "kind", "root").distinct()
 
 
 def groups(rel: DataFrame) -> DataFrame:
     """(record_id, kind, group_id, size): group_id is the smallest key of a record's group, size its number of records."""
     whole = rel.filter("root is not null").groupBy("kind", "root").agg(F.min("record_id").alias("group_id"), F.count(F.lit(1)).alias("size"))
-    return rel.join(whole, ["kind", "root"], "left").select("record_id", "kind", F.coalesce("group_id", "record_id").alias("group_id"), F.coalesce("size", F.lit(1)).alias("size"))
+    both = rel.filter("root is not null").join(whole, ["kind", "root"]).unionByName(rel.filter("root is null").withColumns({"group_id": F.lit(None).cast("string"), "size": F.lit(1).cast("long")}))
+    return both.select("record_id", "kind", F.coalesce("group_id", "record_id").alias("group_id"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
-def take_closest(sizes: dict[int, int], target: int) -> dict[int, int]:
-    """How many groups of each size to take so that their total is as close to `target` as can be; sizes: multiplicity by size.
+def subset_sum(sizes: dict[int, int], target: int) -> tuple[dict[int, int], int]:
+    """How many groups of each size to take so that their total is as close to `target` as can be, and the gap that is left.
 
-    Bit s of a set stands for a total of s. Beyond MAX_BITS the largest sizes are
-    taken whole first, which leaves the closest total for the rest to find.
+    Bit t of a set stands for a total of t. Multiplicities are split by powers of two; each item shifts the set onto itself, and for
+    each total the item that first reached it is kept (2 bytes a total), which is all that the way back needs. It ends at the target.
     """
-    taken: dict[int, int] = {}
-    rest = dict(sizes)
-    for s in sorted(rest, reverse=True):
-        if target > MAX_BITS and (k := min(rest[s], (target - MAX_BITS // 2) // s)) > 0:
-            taken[s] = k
-            rest[s] -= k
-            target -= k * s
+    if target <= 0 or not sizes:
+        return {}, max(target, 0)
     items = []
-    for s, m in rest.items():
+    for s, m in sorted(sizes.items(), reverse=True):
         k = 1
         while m > 0:
             items.append((s, min(k, m)))
             m -= min(k, m)
             k *= 2
-    items.sort(key=lambda x: x[0] * x[1], reverse=True)
-    limit = (1 << (2 * target + 2)) - 1
-    seen = [1]
-    for s, k in items:
-        seen.append((seen[-1] | seen[-1] << s * k) & limit if s * k <= 2 * target + 1 else seen[-1])
-    total = next(t for gap in range(target + 1) for t in (target - gap, target + gap) if seen[-1] >> t & 1)
-    for i in range(len(items) - 1, -1, -1):
-        if not seen[i] >> total & 1:
-            s, k = items[i]
-            taken[s] = taken.get(s, 0) + k
-            total -= s * k
-    return taken
+    items = sorted((x for x in items if x[0] * x[1] <= 2 * target), key=lambda x: x[0] * x[1], reverse=True)
+    words = (2 * target + 64) // 64
+    seen = np.zeros(words, np.uint64)
+    seen[0] = 1
+    by = np.zeros(words * 64, np.int16 if len(items) < 1 << 15 else np.int32)
+    for i, (s, k) in enumerate(items):
+        far, bit = divmod(s * k, 64)
+        moved = np.zeros(words, np.uint64)
+        moved[far:] = seen[: words - far] << np.uint64(bit)
+        if bit:
+            moved[far + 1 :] |= seen[: words - far - 1] >> np.uint64(64 - bit)
+        moved &= ~seen
+        some = np.flatnonzero(moved)
+        for part in np.array_split(some, len(some) // 1_000_000 + 1):
+            at, off = np.nonzero(np.unpackbits(moved[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            by[part[at] * 64 + off] = i
+        seen |= moved
+        if seen[target // 64] >> np.uint64(target % 64) & np.uint64(1):
+            break
+    bits = np.unpackbits(seen.view(np.uint8), bitorder="little")
+    down, up = int(bits[target::-1].argmax()), int(bits[target:].argmax())
+    total = target + up if bits[target + up] and up < down else target - down
+    gap, taken = abs(total - target), {}
+    while total:
+        s, k = items[by[total]]
+        taken[s] = taken.get(s, 0) + k
+        total -= s * k
+    return taken, gap
+
+
+def take_closest(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """How many groups of each size to take so that their total is as close to `target` as can be; sizes: multiplicity by size.
+
+    Each size first gives its share, rounded down, so that no split is made of large groups alone; subset sums find the rest. If
+    these leave a gap, which they do only where groups are few, the sums are made anew without the shares: the closest total in any case.
+    """
+    total = sum(s * m for s, m in sizes.items())
+    if not total:
+        return {}
+    taken = {s: m * target // total for s, m in sizes.items()}
+    more, gap = subset_sum({s: m - taken[s] for s, m in sizes.items()}, target - sum(s * k for s, k in taken.items()))
+    if gap:
+        return subset_sum(sizes, target)[0]
+    return {s: k + more.get(s, 0) for s, k in taken.items()}
 
 
 def assign(grouped: DataFrame, shares: tuple[float, float] = (0.1, 0.1), seed: str = "1", buckets: int = 256) -> DataFrame:

@@ -4,7 +4,10 @@ The JVM cuts each text into pieces by the tokenizer's pattern. Each Arrow batch
 is then encoded by its distinct pieces: pieces that are tokens at once by lookup,
 all others in padded numpy matrices, bucketed by length, where every row merges
 its leftmost pair of minimum rank in each round; pairs are looked up in a hash
-table, and rows are compacted after each merge and leave when no pair is left.
+table, and rows are compacted after each merge and leave when no pair is left. As
+compaction of one row costs its length each round, pieces of over LONG bytes (runs
+without spaces, such as base64) go through linked arrays and a heap by rank and
+place instead, which merges the same pairs in the same order in n log n steps.
 
 A null and an empty text give an empty array; a blank text is encoded like any
 other; the strings of special tokens are ordinary text. Ids are whatever row
@@ -15,6 +18,7 @@ they are in: repeated rows give repeated rows. The vocabulary (fixed size, some
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 20
+#: Bytes of a piece from which on it is merged in linked arrays.
+LONG = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +53,7 @@ class Table:
         pairs = {(ranks[a], ranks[b]): r for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks}
         keys = np.array([a << 32 | b for a, b in pairs], np.uint64)
         values = np.fromiter(pairs.values(), np.int32, len(pairs))
+        self.pairs: dict[int, int] | None = None
         self.bits = max(4, int(len(keys) * 4).bit_length())
         self.keys = np.full(1 << self.bits, np.uint64(2**64 - 1))
         self.values = np.full(1 << self.bits, NONE, np.int32)
@@ -78,6 +85,41 @@ class Table:
         return out
 
 
+def merge_long(table: Table, ids: np.ndarray) -> np.ndarray:
+    """Merges one long row of ids, its leftmost pair of minimum rank first: the ids that remain."""
+    n, none = len(ids), int(NONE)
+    if table.pairs is None:
+        held = table.values != NONE
+        table.pairs = dict(zip(table.keys[held].tolist(), table.values[held].tolist(), strict=True))
+    get = table.pairs.get
+    token, rank = ids.tolist(), [*table.rank(ids[:-1], ids[1:]).tolist(), none]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [r << 32 | i for i, r in enumerate(rank) if r != none]
+    heapq.heapify(heap)
+    while heap:
+        r, i = divmod(heapq.heappop(heap), 1 << 32)
+        if rank[i] != r:  # merged away, or a pair that is no more
+            continue
+        j = after[i]
+        k = after[i] = after[j]
+        token[i], rank[i], rank[j] = r, none, none
+        if k < n:
+            before[k] = i
+            rank[i] = new = get(r << 32 | token[k], none)
+            if new != none:
+                heapq.heappush(heap, new << 32 | i)
+        h = before[i]
+        if h >= 0:
+            rank[h] = new = get(token[h] << 32 | r, none)
+            if new != none:
+                heapq.heappush(heap, new << 32 | h)
+    out, i = [], 0
+    while i < n:
+        out.append(token[i])
+        i = after[i]
+    return np.array(out, np.int32)
+
+
 def merge_bucket(table: Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges the rows of a matrix of ids, padded by -1 on the right: the ids in row order, and how many each row has."""
     count = len(ids)
@@ -128,8 +170,14 @@ def encode_pieces(table: Table, pieces: list[bytes]) -> tuple[np.ndarray, np.nda
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     start = 0
     while start < len(rest):
+        if length[start] > LONG:
+            flat = merge_long(table, table.bytes[np.frombuffer(pieces[rest[start]], np.uint8)])
+            size[rest[start]] = len(flat)
+            parts.append((rest[start : start + 1], flat))
+            start += 1
+            continue
         stop = start + 1
-        while stop < len(rest) and length[stop] <= max(8, length[start] * 1.25) and length[stop] * (stop - start + 1) <= CELLS:
+        while stop < len(rest) and length[stop] <= min(LONG, max(8, length[start] * 1.25)) and length[stop] * (stop - start + 1) <= CELLS:
             stop += 1
         own, width = rest[start:stop], int(length[stop - 1])
         raw = np.frombuffer(b"".join(pieces[i] for i in own), np.uint8)
