@@ -150,7 +150,7 @@ def pairs_in_keys(rows: DataFrame) -> DataFrame:
 
 
 #: A key held by more classes than this is hot: its classes are joined by their rarest words instead.
-HOT = 200
+HOT = 1000
 #: Words are counted in so many buckets; the table of counts is 4 MB, whatever the corpus.
 COUNT_BITS = 20
 

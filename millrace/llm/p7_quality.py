@@ -49,6 +49,8 @@ TABLE = {
 }
 PAIR = r"^[\p{L}\p{N}_ '’.-]{1,30}\s?[:=]\s?\S.{0,34}$"
 LOG = r"^\[?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}|\[(?:INFO|WARN|WARNING|ERR|ERROR|DEBUG|TRACE|FATAL)\]|\b0x[0-9a-f]{6,}\b"
+MENU = r"^(?:[^«»›|]{1,30} [»›|] ){3,}[^«»›|]{1,30}$"
+ENCODED = r"^[A-Za-z0-9+/=_-]{40,}$"
 SYMBOL = r"[^\p{L}\p{N}\p{M}\s.,;:!?'\"()\-–—…。，、；：！？（）“”‘’«»„¿¡%&]"
 BROKEN = r"[ÃÂ][^\p{L}\p{N}\s]|Ã[\x{80}-\x{bf}]|[âäåæçèéïð][\x{80}-\x{bf}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+|ï¿½|\x{fffd}"
 CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
@@ -71,7 +73,7 @@ RULES = {
     "fineweb_line_punctuation": ("ends", 0.12, 1.0),
     "fineweb_short_lines": ("short_lines", 0.0, 0.67),
 }
-DECISIVE: tuple[str, ...] = ()
+DECISIVE = ("gopher_mean_word_length", "gopher_symbol_to_word", "gopher_bullet_lines", "gopher_alphabetic_words", "gopher_stop_words", "gopher_duplicate_lines", "gopher_duplicate_line_characters")
 #: Least words of a document to which published rules apply (Gopher).
 MIN_WORDS = 50
 
@@ -142,7 +144,7 @@ def describe(texts: pa.Array, common_list: list[str]) -> dict[str, np.ndarray]:
     pair = np.zeros(m, bool)
     pair[short] = _has(lines.take(pa.array(short)), PAIR)
     pair &= ~ends
-    junk = _has(lines, LOG) | (symbols > SYMBOLS * size) | (wl > LONG_WORD * np.maximum(nw, 1)) & ~chinese & (size > 20)
+    junk = _has(lines, LOG) | _has(lines, ENCODED) | _has_with(lines, "»", MENU) | _has_with(lines, "›", MENU) | (symbols > SYMBOLS * size) | (wl > LONG_WORD * np.maximum(nw, 1)) & ~chinese & (size > 20)
     kind = np.select([table, junk, bullet | pair, ~spoken & (nw <= 6 + 2 * chinese), ~spoken], [2, 3, 1, 1, 3], 0)
     # a title or the short end of a wrapped paragraph is neither: it counts as the text around it
     kept = ~((kind == 1) & ~bullet & ~pair & (nw <= 6) & _alone(row, kind, bullet | pair | table))
@@ -211,9 +213,9 @@ def reasons(s: dict[str, np.ndarray]) -> np.ndarray:
     out = np.where(shares.sum(0) > 0.5, np.array(KINDS)[shares.argmax(0)], None).astype(object)
     out[(s["n_words"] >= LEAST_WORDS) & (s["distinct"] < DISTINCT) & (s["distinct"] * s["n_words"] <= FEW_WORDS) | (s["repeated"] > REPEATED)] = "repetition"
     out[s["broken"] > BROKEN_SHARE] = "encoding"
-    for name, bad in failures(s).items():
+    for name, bad in reversed(failures(s).items()):
         if name in DECISIVE:
-            out[bad & (out == None)] = name  # noqa: E711
+            out[bad] = name
     out[s["some"] == 0] = None
     return out
 

@@ -109,7 +109,7 @@ def test_p4_weighted_similarity_has_a_floor():
     w = p4.weights(np.arange(50, dtype=np.int32), 1000, counts)
     assert w[0] == 1 and abs(w[45] - p4.RATIO) < 1e-9
     assert abs(8 * w[0] / (8 * w[0] + 2 * w[45]) - p4.WEIGHTED) < 1e-9
-    assert (1 - p4.WEIGHTED**p4.ROWS) ** p4.BANDS < 1e-3
+    assert (1 - p4.WEIGHTED**p4.ROWS) ** p4.BANDS < 3e-3
 
 
 def test_p4_samples_estimate_weighted_similarity():
@@ -380,7 +380,7 @@ def test_p3_groups_and_splits(spark):
     assert p3.assign(p3.groups(p3.related(s.limit(0), e.limit(0), catalog(spark)))).count() == 0
 
 
-def test_p3_take_closest(monkeypatch):
+def test_p3_take_closest():
     def best(sizes, target):
         totals = {0}
         for s, m in sizes.items():
@@ -388,16 +388,31 @@ def test_p3_take_closest(monkeypatch):
         return min(abs(t - target) for t in totals)
 
     r = rng(8)
-    for bits in (1 << 22, 16):
-        monkeypatch.setattr(p3, "MAX_BITS", bits)
-        for _ in range(60):
-            sizes = {s: r.randint(1, 6) for s in r.sample(range(1, 40), r.randint(1, 5))}
-            target = sum(s * m for s, m in sizes.items()) // 10
-            taken = p3.take_closest(sizes, target)
-            assert all(0 <= taken[s] <= sizes[s] for s in taken)
-            if bits > 16:
-                assert abs(sum(s * k for s, k in taken.items()) - target) == best(sizes, target)
-    assert p3.take_closest({}, 0) == {}
+    for _ in range(150):
+        sizes = {s: r.randint(1, 6) for s in r.sample(range(1, 400), r.randint(1, 5))}
+        target = sum(s * m for s, m in sizes.items()) // r.choice([10, 10, 3, 1])
+        taken = p3.take_closest(sizes, target)
+        assert all(0 <= taken[s] <= sizes[s] for s in taken)
+        assert abs(sum(s * k for s, k in taken.items()) - target) == best(sizes, target)
+    assert p3.take_closest({}, 0) == {} and p3.take_closest({7: 1}, 0).get(7, 0) == 0
+    assert sum(s * k for s, k in p3.take_closest({1_000_000: 1, 3: 5}, 100_001).items()) == 15
+
+
+def test_p3_take_closest_is_bounded():
+    """2,000 distinct sizes of 163 million records: seconds, and no more than 200 MB."""
+    import time
+    import tracemalloc
+
+    r = rng(3)
+    sizes = {s: max(1, 82_000 // s + r.randint(0, 1)) for s in r.sample(range(1, 160_000), 2000)}
+    target = sum(s * m for s, m in sizes.items()) // 10
+    tracemalloc.start()
+    began = time.process_time()
+    taken = p3.take_closest(sizes, target)
+    whole, gap = p3.subset_sum(sizes, target)
+    assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert sum(s * k for s, k in taken.items()) == target == sum(s * k for s, k in whole.items()) and gap == 0
 
 
 def test_p5_is_the_tokenizer(spark):
@@ -415,6 +430,53 @@ def test_p5_is_the_tokenizer(spark):
     assert p5.encode(df.unionByName(df)).count() == 2 * len(texts)
 
 
+def test_p5_long_pieces(spark):
+    """A piece of 64 KB is merged as the tokenizer does, in less than two seconds; pieces around LONG alike."""
+    import time
+
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = p5.read_ranks(p5.VOCABULARY)
+    enc = tiktoken.Encoding("own", pat_str=r"\p{L}+|[^\p{L}]+", mergeable_ranks=ranks, special_tokens={})
+    table, r = p5.Table(ranks), rng(64)
+    base = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pieces = ["".join(r.choices(base, k=n)).encode() for n in (p5.LONG - 1, p5.LONG, p5.LONG + 1, 5000)] + [b"a" * 4001, ("漢字" * 900).encode()]
+    flat, begin = p5.encode_pieces(table, pieces)
+    for i, piece in enumerate(pieces):
+        assert flat[begin[i] : begin[i + 1]].tolist() == enc.encode_ordinary(piece.decode())
+    long = "".join(r.choices(base, k=1 << 16)).encode()
+    began = time.process_time()
+    flat, _ = p5.encode_pieces(table, [long])
+    assert time.process_time() - began < 2 and b"".join(enc.decode_tokens_bytes(flat.tolist())) == long
+
+
+def test_p6_holds_half_with_one_word_in_eight(spark):
+    r = rng(66)
+    word = lambda: "".join(r.choices("bdfgklmnprstaeiou", k=9))
+    item = [word() for _ in range(100)]
+    seventh = [word() if k % 7 == 3 else w for k, w in enumerate(item[:56])]
+    ninth = [word() if k % 9 == 4 else w for k, w in enumerate(item[:56])]
+    together = item[:20] + [word() for _ in range(7)] + item[20:60]
+    turned = item[:45] + [word()] + item[46:48] + [word()] + item[49:50] + [word()]
+    docs = {"48 words": item[:48], "50 words": item[10:60], "seventh": seventh, "ninth": ninth, "together": together, "short ends": turned, "halves": item[:30] + [word() for _ in range(40)] + item[30:60]}
+    d = spark.createDataFrame([(k, " ".join([word() for _ in range(15)] + w + [word() for _ in range(15)])) for k, w in docs.items()], "doc_id string, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x["doc_id"] for x in p6.leaks(d, b).collect()} == {"50 words", "ninth", "together", "short ends"}
+
+
+def test_p6_joined_index_is_the_broadcast_one(spark):
+    """A closing sentence of all items, in all documents, is a key of no item that has enough others."""
+    r = rng(67)
+    close = "please answer only with the name of the object that has changed".split()
+    items = [(i, " ".join([*sentence(r, 40).split(), *close])) for i in range(80)] + [(99, " ".join(close)), (100, None)]
+    docs = []
+    for i in range(60):
+        w = items[r.randrange(80)][1].split()
+        docs.append((i, " ".join([sentence(r, 10), *w[: r.choice([4, 12, 30, 52])], sentence(r, 5), *close])))
+    d, b = spark.createDataFrame([*docs, (77, None)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, two = (sorted(tuple(x) for x in p6.leaks(d, b, block=n).collect()) for n in (1000, 5))
+    assert one == two and len(one) > 80
+
+
 def test_p6_planted_passages(spark):
     r = rng(6)
     items = [(i, sentence(r, r.randint(8, 60))) for i in range(40)]
@@ -478,6 +540,8 @@ JUNK = {
     "log": "2025-05-14T19:18:05Z [WARN] worker-27 rc=4053\n2025-05-14T19:18:06Z [INFO] worker-2 rc=1",
     "base64": "T7w5cRQZ62yoL9kGhBMOGVoIgSWCa7n5pyDrdUxuzwnaVTDyNTkE\neYB6PqX6rEcA35iycRDQIrWu6fdl9cjlrLT9XLzUOsAYe3LZb4hH",
     "symbols": "Z]{rof/n <ri_es*that _he< w@}l{ rat~<r f~[]ze \\he \\ho]} {e@c@ %}|n\\*cce",
+    "long menu": " » ".join(["Home", "About", "Next page", "Terms", "Search", "Top"] * 11),
+    "one line of base64": "T7w5cRQZ62yoL9kGhBMOGVoIgSWCa7n5pyDrdUxuzwnaVTDyNTkEeYB6PqX6rEcA35iycRDQIrWu6fdl9cjlrLT9XLzUOsAYe3LZb4hH",
     "menu": "Home » Login » Search » Terms » Home » Gallery » Share » Login",
     "gibberish": "Xgra sqxjsac ghdkp ffn juzwo ketqlot zu zobhket. Gnts qbaf wrtpl kkdj fhgn qwrt.",
     "mojibake": "Nous avons vÃ©rifiÃ©Ã¢â‚¬â„¢ ï¿½ï¿½ Ã©Ã¼ Â§Ã¢â‚¬â„¢ ï¿½ï¿½ Ã©Ã¼",
@@ -498,6 +562,29 @@ def test_p7_cases(spark):
     assert p7.quality(df.unionByName(df)).count() == 2 * len(texts)
 
 
+def test_p7_published_rules(spark):
+    """Each published rule has its value and verdict; only texts of MIN_WORDS words are judged by them."""
+    r = rng(7)
+    prose = " ".join([PROSE["en"]] * 3)
+    texts = {
+        "prose": " ".join(PROSE[k] for k in ("en", "careless", "list inside")), "gopher_mean_word_length": " ".join("Donaudampfschifffahrtsgesellschaftskapitaen der und die" for _ in range(20)), "gopher_symbol_to_word": prose + " # # # # # # # # # # # #",
+        "gopher_bullet_lines": "\n".join(f"- the lamp and the {x}" for x in NOUNS[:20]), "gopher_alphabetic_words": " ".join(str(r.randrange(10_000)) for _ in range(60)) + " the and of", "gopher_stop_words": " ".join(NOUNS),
+        "gopher_duplicate_lines": "\n".join([PROSE["en"], PROSE["careless"]] * 5), "gopher_ellipsis_lines": "\n".join([PROSE["en"] + "..."] + [PROSE["careless"]]), "short": "x y z",
+    }
+    got = {x["doc_id"]: x for x in p7.quality(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    for k in texts:
+        assert (k in got[k]["failed"]) == (k in p7.RULES), k
+    assert got["prose"]["failed"] == got["short"]["failed"] == [] and got["prose"]["reason"] is None
+    assert got["gopher_stop_words"]["reason"] == "gopher_stop_words" and got["gopher_stop_words"]["stop_words"] == 0.0
+
+
+def test_p7_common_words_are_whole_lists(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    words = p7.common_words()
+    assert {"the", "der", "les", "pero"} <= set(words) and set(x for x in StopWordsRemover.loadDefaultStopWords("german") if x.isalpha()) <= set(words)
+
+
 def test_similarity_is_of_sets():
     assert near(set("abcdefghi"), set("abcdefghij")) and not near(set("abcd"), set("abcd"))
     assert ns.MIN_WORDS == 5
