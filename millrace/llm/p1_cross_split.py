@@ -4,8 +4,8 @@ Content-defined chunks: a rolling hash of the last WINDOW words of a record, as
 decides where it is cut, so an edit changes only the chunks it touches. Chunks hold
 2**level words on average; the level rises with the record, so that a record of n
 words has 8 to 16 chunks (under 16 words, each word is one), and each record is cut
-twice, by two hashes: at most 2n/9 edits hardly ever touch all chunks of both (none of
-20,000 simulated pairs of 9 to 63 words with the most edits, 1 in 1,000 of 64 words).
+twice, by two hashes: as many edits as nearly equal texts can have hardly ever touch all
+chunks of both (in a simulation none of 15,000 pairs of 9 to 63 words, 2 of 1,500 of 64).
 A record also gets the chunks of the level that its longest partner has.
 
 Chunk digests are joined across splits, the lengths of shared chunks are summed for

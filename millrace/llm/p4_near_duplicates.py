@@ -13,7 +13,7 @@ verified by weighted Jaccard similarity and confirmed by the exact test.
 - Sampling: BANDS * ROWS samples a set; r and c are Gamma(2, 1) and beta uniform,
   each a fixed function of word and sample. Equal samples of two sets occur with the
   probability of their weighted similarity w, so a pair is missed with the chance
-  (1 - w ** ROWS) ** BANDS: 3e-3 at the floor, 2e-5 at 0.85.
+  (1 - w ** ROWS) ** BANDS: 3e-3 at the floor, 1e-5 at 0.85.
 - A band key held by more than nearset.HOT classes isn't split at random: its
   classes go under their rarest words (prefix filter with places), which loses none of their pairs.
 - Classes of one word set are one node; records without five distinct words, and
