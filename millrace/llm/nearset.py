@@ -197,9 +197,11 @@ def rare_rows(sets: DataFrame, counts: np.ndarray, *also: str) -> DataFrame:
     return sets.select(*names, "words").mapInArrow(run, ", ".join(["key long", *(f"{c} {kinds[c]}" for c in names), "pos int, held boolean"]))
 
 
-def rare_pairs(rows: DataFrame, also: Column | None = None) -> DataFrame:
+def rare_pairs(rows: DataFrame, also: Column | None = None, *keep: str) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows of `rare_rows` that can be nearly equal; also: a further condition on a.* and b.*.
 
+    keep: columns that come out for both, with _a and _b behind their names.
+
     The larger set of a pair (of equals, that of the larger id) meets the smaller where the smaller one is held; from a word's
     places follows how much both can share from there on. A template word in a third of all rows is then met by the few sets
     that hold it, as the words that tell the sets apart come before it.
@@ -210,7 +212,9 @@ def rare_pairs(rows: DataFrame, also: Column | None = None) -> DataFrame:
     room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (10 + TENTHS) >= (F.col("a.n") + F.col("b.n")) * TENTHS
     on = (F.col("a.key") == F.col("b.key")) & larger & room & close()
     met = a.hint("merge").join(b, on if also is None else on & also)
-    return met.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+    turned = F.col("a.sid") > F.col("b.sid")
+    sides = [F.when(turned == (end == "a"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(f"{c}_{end}") for c in keep for end in "ab"]
+    return met.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"), *sides).distinct()
 
 
 #: Rows of two numbers that may be broadcast: some 10 MB.

@@ -3,8 +3,8 @@
 Content-defined chunks: a rolling hash of the last WINDOW words of a record, as read,
 decides where it is cut, so an edit changes only the chunks it touches. Chunks hold
 2**level words on average; the level rises with the record, so that a record of n
-words has 8 to 16 chunks (under 16 words, each word is one), and each record is cut
-twice, by two hashes: as many edits as nearly equal texts can have hardly ever touch all
+words has 8 to 16 chunks (under 16 words, each word is one), and records of 32 words or
+more are cut twice, by two hashes: as many edits as nearly equal texts can have hardly ever touch all
 chunks of both (in a simulation none of 15,000 pairs of 9 to 63 words, 2 of 1,500 of 64).
 A record also gets the chunks of the level that its longest partner has.
 
@@ -123,8 +123,8 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
                 level = own + up
                 for k, seed in enumerate(SEEDS):
                     begin, stop, row = chunks(seq, ends, level, seed)
-                    # where each word is a chunk, the two hashes cut alike
-                    keep = (level <= most)[row] & ((level > 0)[row] | (k == 0))
+                    # records of under two spans have so many chunks that one hash will do
+                    keep = (level <= most)[row] & ((level > 1)[row] | (k == 0))
                     begin, stop, row = begin[keep], stop[keep], row[keep]
                     key = ns.mix(digests(seq, begin, stop) ^ field[row] ^ ns.mix((level[row] * 2 + k).astype(np.uint64)))
                     order = np.lexsort((key, row))
@@ -185,10 +185,10 @@ def cross_links(classes: DataFrame) -> DataFrame:
         sets = classes.select("sid", "n", "bm", "side", "field", F.array_distinct("seq").alias("words"))
         rows = ns.rare_rows(ns.semi(sets, hot, "sid"), ns.word_counts(sets), "side", "field").withColumn("key", F.xxhash64("key", "field"))
         across = F.col("a.side").bitwiseOR(F.col("b.side")) == 3
-        rare = ns.rare_pairs(rows, across)
-        sided = ns.semi(classes.select("sid", "side"), hot, "sid")
-        rare = rare.join(sided.select(F.col("sid").alias("a"), F.col("side").alias("sa")), "a").join(sided.select(F.col("sid").alias("b"), F.col("side").alias("sb")), "b")
-        turned = rare.filter("sb <> 1 and sa <> 2").select("a", "b").unionByName(rare.filter("sa <> 1 and sb <> 2").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rare = ns.rare_pairs(rows, across, "side")
+        # training class first; a pair of classes that have both counts either way
+        ways = F.filter(F.array(F.struct("a", "b", F.expr("side_a <> 2 and side_b <> 1").alias("ok")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.expr("side_b <> 2 and side_a <> 1").alias("ok"))), lambda x: x["ok"])
+        turned = rare.select(F.explode(ways).alias("x")).select("x.a", "x.b")
         pairs = pairs.unionByName(turned).distinct()
     near = overlaps(ns.with_words(pairs, classes, "seq"))
     out = cut(near.unionByName(classes.filter("side = 3").select(F.col("sid").alias("a"), F.col("sid").alias("b"), F.lit(1.0).alias("oa"), F.lit(1.0).alias("ob"))))
