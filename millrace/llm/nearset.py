@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +64,20 @@ def flat_sets(sets: list[set[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set: its id, a bitmap of its members (54 bits, above its size in 10 bits, 1,023 for more), and its members as sorted 32-bit numbers."""
+    """Of each set: its id, an odd sketch of its members (54 bits, above its size in 10 bits, 1,023 for more), and its members as sorted 32-bit numbers.
+
+    A bit of the sketch says whether an odd number of members fall on it (Mitzenmacher, Pagh, Pham 2014).
+    """
     with np.errstate(over="ignore"):
         sid = mix(np.add.reduceat(mix(flat), starts[:-1]))
-    bitmap = np.bitwise_or.reduceat(np.uint64(1) << ((flat >> np.uint64(40)) % np.uint64(54) + np.uint64(10)), starts[:-1]) | np.minimum(np.diff(starts), 1023).astype(np.uint64)
+    odd = np.bitwise_xor.reduceat(np.uint64(1) << ((flat >> np.uint64(40)) % np.uint64(54) + np.uint64(10)), starts[:-1]) | np.minimum(np.diff(starts), 1023).astype(np.uint64)
     row = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
     short = (np.sort(row << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    return sid.view(np.int64), bitmap.view(np.int64), short
+    return sid.view(np.int64), odd.view(np.int64), short
 
 
 def word_sets(df: DataFrame, text: str, *keep: str, order: bool = False, every: bool = False) -> DataFrame:
-    """`keep` columns, sid, n (distinct words), bm (bitmap), words, and with `order` seq (all words in order).
+    """`keep` columns, sid, n (distinct words), bm (odd sketch), words, and with `order` seq (all words in order).
 
     Rows whose text is null or has under MIN_WORDS distinct words are left out, or with `every` kept with nulls.
     """
@@ -124,9 +127,9 @@ def classes(sets: DataFrame, *also: str) -> DataFrame:
 
 
 def close(a: str = "a", b: str = "b"):
-    """What every pair of nearly equal sets fulfils, by sizes and bitmaps (`bm`) alone: each bit that differs stands for a word that differs.
+    """What every pair of nearly equal sets fulfils, by sizes and odd sketches (`bm`) alone: a bit differs only where an odd number of words does.
 
-    A size that is cut at 1,023 refuses no pair: it is no larger than it is, and the bits of so many words are all set.
+    A size that is cut at 1,023 refuses no pair: it is no larger than it is, and so many words may differ in more than 54 bits.
     """
     x, y = F.col(f"{a}.bm"), F.col(f"{b}.bm")
     na, nb = x.bitwiseAND(1023), y.bitwiseAND(1023)
@@ -140,7 +143,7 @@ def shared_keys(keyed: DataFrame, *also: str) -> DataFrame:
 
 
 def pairs_in_keys(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes that share a key and pass the bitmap test; rows: key, sid, bm.
+    """Distinct pairs (a, b), a < b, of classes that share a key and pass the sketch test; rows: key, sid, bm.
 
     A merge join streams each key's rows, so no key's pairs are ever held; those that the test refuses leave the join at once.
     """
@@ -206,7 +209,9 @@ def rare_pairs(rows: DataFrame, also: Column | None = None, *keep: str) -> DataF
     places follows how much both can share from there on. A template word in a third of all rows is then met by the few sets
     that hold it, as the words that tell the sets apart come before it.
     """
-    shared = rows.withColumn("cnt", F.sum(F.col("held").cast("int")).over(Window.partitionBy("key"))).filter("cnt > 0")
+    # kept, as both sides of the join are this one table, already partitioned and sorted by key; words of one set are gone
+    own = Window.partitionBy("key")
+    shared = rows.withColumns({"cnt": F.count(F.lit(1)).over(own), "some": F.max("held").over(own)}).filter("cnt > 1 and some").persist(StorageLevel.MEMORY_AND_DISK)
     a, b = shared.alias("a"), shared.filter("held").alias("b")
     larger = (F.col("a.n") > F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.sid") > F.col("b.sid"))
     room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (10 + TENTHS) >= (F.col("a.n") + F.col("b.n")) * TENTHS

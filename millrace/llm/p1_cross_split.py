@@ -113,19 +113,20 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq, ends = _flat(b, "seq")
-            if not len(seq):
+            if not b.num_rows:
                 continue
             n = b.column("n").to_numpy()
             own, most = levels(n), levels(n * 10 // ns.TENTHS)
             field = ns.mix(b.column("field").to_numpy().astype(np.uint64))
-            for up in (0, 1):
-                level = own + up
-                for k, seed in enumerate(SEEDS):
-                    begin, stop, row = chunks(seq, ends, level, seed)
-                    # records of under two spans have so many chunks that one hash will do
-                    keep = (level <= most)[row] & ((level > 1)[row] | (k == 0))
-                    begin, stop, row = begin[keep], stop[keep], row[keep]
+            for up, k in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                # records of under two spans have so many chunks that one hash will do
+                some = np.flatnonzero((own + up <= most) & ((own + up > 1) | (k == 0)))
+                if len(some):
+                    level = own + up
+                    part = b.column("seq").take(pa.array(some))
+                    seq, ends = part.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(part.offsets.to_numpy()))])
+                    begin, stop, row = chunks(seq, ends, level[some], SEEDS[k])
+                    row = some[row]
                     key = ns.mix(digests(seq, begin, stop) ^ field[row] ^ ns.mix((level[row] * 2 + k).astype(np.uint64)))
                     order = np.lexsort((key, row))
                     key, row, size = key[order], row[order], (stop - begin)[order]

@@ -16,7 +16,7 @@ differences than twice the fours, three of some four have none, so the two sets
 where the intervals of these three distances have no width. The number of classes
 doubles at 9, 18, 36, 72 words and so on, so that this always holds: no pair is
 missed at any size. Pairs that meet are pruned by the distances to the empty set
-(sizes) and to 64 unit pivots (bitmap), then the true distance is verified.
+(sizes) and to 54 sets of words by their parity (odd sketch), then the true distance is verified.
 A key held by more than nearset.HOT sets is not cut off: its sets go under their
 rarest words (prefix filter), which loses no pair.
 
