@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -127,6 +127,22 @@ def checklist_results(questions: Column, heads: Heads) -> Column:
     return F.transform(questions, lambda q: F.struct(q.alias("question"), checklist_head(q).alias("head"), scores[checklist_head(q)].alias("score"), (scores[checklist_head(q)] >= 0.65).alias("pass")))
 
 
+def difference_report(allowed: Column, heads: Heads) -> Column:
+    """{intended, missing, unintended, implied}: the allowed changes count as made from an execution of 0.65 on; below that of preservation, drift is possible."""
+    made, calm = _or(heads, "execution", 0.0) >= 0.65, _or(heads, "preservation", 0.0) >= 0.65
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.when(made, allowed).otherwise(none).alias("intended"), F.when(made, none).otherwise(allowed).alias("missing"),
+        F.when(calm, none).otherwise(F.array(F.lit("possible non-target drift"))).alias("unintended"), none.alias("implied"),
+    )
+
+
+def scored(heads: Heads, allowed: Column, questions: Column) -> dict[str, Column]:
+    """All columns that come of scoring a verifier's item or an agent's result: score, failure, hints, difference report, checklist."""
+    failed = failure(heads)
+    return {"score": F.round(fuse(heads), 4), "primary_failure": failed, "hints": credit_hints(heads, failed), "difference_report": difference_report(allowed, heads), "checklist_results": checklist_results(questions, heads)}
+
+
 def filter_score(level: Column) -> Column:
     """The base score of a task by its difficulty."""
     return F.greatest(F.lit(0.76), 0.96 - 0.025 * level)
@@ -150,9 +166,16 @@ def review(failures: Column, same: Column, faithful: Column, preservation: Colum
     return F.when(bad, "reject").when(weak, "review").otherwise("accept")
 
 
-def advantage(reward: Column, window, eps: float = 1e-6) -> Column:
-    """A reward relative to its group: distance from the mean in standard deviations."""
-    return (reward - F.avg(reward).over(window)) / (F.stddev_pop(reward).over(window) + eps)
+def with_advantage(df: DataFrame, group: str, reward: str, eps: float = 1e-6, name: str = "advantage") -> DataFrame:
+    """`df` with the reward relative to its group: distance from the mean in standard deviations.
+
+    The groups' figures are an aggregation with map-side combine that is joined back, so a group of a third of all rows is
+    never in one task. Rows without a group have no advantage.
+    """
+    some = df.filter(F.col(group).isNotNull())
+    per = some.groupBy(group).agg(F.avg(reward).alias("_m"), F.stddev_pop(reward).alias("_s"))
+    out = some.join(per, group).withColumn(name, (F.col(reward) - F.col("_m")) / (F.col("_s") + eps)).drop("_m", "_s")
+    return out.unionByName(df.filter(F.col(group).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 #: Least scores of an accepted sample.

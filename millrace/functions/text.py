@@ -139,3 +139,53 @@ def canonical_json(value: Column) -> Column:
 def stable_hash(value: Column, length: int = 16) -> Column:
     """The first digits of the SHA-256 of canonical JSON."""
     return F.left(F.sha2(canonical_json(value), 256), F.lit(length))
+
+
+def check_score(checks: Column) -> Column:
+    """The weight of passed checks (expected, got, weight: null is 1) over that of all, to three places; a total of zero divides as one, no checks are null."""
+    weight = lambda c: F.coalesce(c["weight"], F.lit(1.0))
+    total = F.aggregate(checks, F.lit(0.0), lambda s, c: s + weight(c))
+    won = F.aggregate(checks, F.lit(0.0), lambda s, c: s + F.when(same_answer(c["expected"], c["got"]), weight(c)).otherwise(0.0))
+    return F.when(F.size(checks) > 0, F.round(won / F.when(total == 0, 1.0).otherwise(total), 3))
+
+
+def task_id(version: Column, parts: list[Column], number: Column, default: str = "v2") -> Column:
+    """r, the letters and digits of the version, the parts, and the number in five digits."""
+    bare = F.regexp_replace(version, r"[^\p{L}\p{N}]", "")
+    return F.concat(F.lit("r"), F.when(F.coalesce(bare, F.lit("")) == "", default).otherwise(bare), F.lit("_"), F.concat_ws("_", *parts), F.lit("_"), F.format_string("%05d", number.cast("bigint")))
+
+
+#: What instructions are made of; {} is the core, {low} the core with a small first letter.
+CORES = ["{}", "Using the source image as context, {low}", "Make only the requested reasoning edit: {}", "Edit the image so that the final visual state is correct: {}", "Apply the domain knowledge and update the image: {}", "Keep unrelated regions unchanged while you {low}"]
+PREFIXES = [
+    "", "For this benchmark-style editing task, ", "After inspecting the diagram, ", "With the original layout preserved, ", "Using the visible source image only as the starting point, ",
+    "Perform the smallest sufficient edit: ", "Update the target region and leave the rest stable: ", "Reason about the requested outcome, then ",
+]
+SUFFIXES = [
+    " Keep the camera view unchanged.", " Do not alter any unrelated object.", " Preserve the original background and visual style.", " Make the result visually plausible.", " Keep labels and non-target regions stable.",
+    " Avoid adding decorative or explanatory text.", " The final image should satisfy the reasoning target, not just look different.", " Preserve object identity unless the instruction explicitly changes it.",
+    " Keep the edit localized to the necessary region.", " Do not change the task premise or redraw the whole image.",
+]
+CONSTRAINTS = [
+    "", " Focus on reasoning correctness.", " Prioritize non-edited-region consistency.", " The edited state should be directly visible.", " Avoid over-editing.", " The target state must be knowledge-plausible.",
+    " Keep the source composition recognizable.", " Ensure the visual change matches the instruction exactly.",
+]
+
+
+def instruction(base: Column, core: Column, prefix: Column, suffix: Column, constraint: Column) -> Column:
+    """An instruction from a base text and the numbers of its variants, each modulo how many there are; null numbers are zero."""
+    at = lambda values, n: F.element_at(values, (F.pmod(F.coalesce(n, F.lit(0)), F.size(values)) + 1).cast("int"))
+    low = F.concat(F.lower(F.substring(base, 1, 1)), F.substring(base, 2, 1 << 30))
+    cores = F.array(*(F.concat(F.lit(c.split("{")[0]), low if "{low}" in c else base) for c in CORES))
+    of = lambda values: F.array(*map(F.lit, values))
+    return F.trim(F.concat(at(of(PREFIXES), prefix), at(cores, core), at(of(SUFFIXES), suffix), at(of(CONSTRAINTS), constraint)))
+
+
+def csv_set(text: Column) -> Column:
+    """The distinct entries of a comma-separated text, trimmed, in order; none for null."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def relative(path: Column, root: str) -> Column:
+    """The path below a root folder, or as it is if it lies elsewhere."""
+    return F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)).otherwise(path)

@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.operators.decontam import grams
 from millrace.session import spread
 
-#: Phrases that glue instructions together, as patterns on normalized text, and checklist questions that fit anything.
+#: Phrases that glue instructions together, as patterns on normalized text, the template of a rationale, and checklist questions that fit anything.
 GLUE = [
     r"^after inspecting the diagram",
     r"^study the image first",
@@ -21,6 +21,7 @@ GLUE = [
     r"focus on reasoning correctness",
     r"preserve all unrelated visual context",
 ]
+RATIONAL = "this requires [a-z_ ]+ reasoning"
 GENERIC = [
     "is the result consistent with the required reasoning or discipline knowledge",
     "are unrelated objects background layout lighting and viewpoint preserved",

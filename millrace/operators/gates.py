@@ -35,7 +35,7 @@ def when(bad: Column, reason: str | Column) -> Column:
 
 
 def joined(*fields: Column) -> Column:
-    """The fields in small letters, one after another."""
+    """The fields in small letters, one after another; null ones are left out."""
     return F.lower(F.concat_ws(" ", *fields))
 
 
@@ -92,8 +92,17 @@ def one(reason: Column) -> Column:
     return F.when(reason.isNotNull(), F.array(reason)).otherwise(F.array().cast("array<string>"))
 
 
-def pair_reasons(duplicate: Column, key: list[Column]) -> Column:
-    """All reasons against an edit pair, in order: key, duplicate, safety, visual input, leakage, quality, images, licence, split."""
+def allowed_edit(edit_type: Column, excluded: list[str]) -> Column:
+    """Whether a normalized edit type isn't excluded; to be asked before anything is fetched. Null is allowed."""
+    return ~F.coalesce(T.normalize(edit_type).isin(*(x.lower().strip() for x in excluded)), F.lit(False)) if excluded else F.lit(True)
+
+
+def pair_reasons(duplicate: Column, key: list[Column], texts: list[Column] | None = None, extra: Column | None = None) -> Column:
+    """All reasons against an edit pair, in order: key, duplicate, safety, visual input, leakage, quality, images, licence, split.
+
+    texts: all texts of the pair (captions and inputs too, where it has them), by default instruction and edit type; extra: a further input image.
+    """
+    texts = [F.col("instruction"), F.col("edit_type")] if texts is None else texts
     missing = F.lit(False)
     for k in key:
         missing = missing | (F.coalesce(k, F.lit("")) == "")
@@ -101,8 +110,8 @@ def pair_reasons(duplicate: Column, key: list[Column]) -> Column:
     return reasons(
         when(missing, "missing_key_fields"),
         when(~missing & duplicate, "duplicate_pair_or_instruction"),
-        when(unsafe(F.col("instruction"), F.col("edit_type")), "unsafe_text"),
-        when(needs_image(None, F.col("instruction"), F.col("edit_type")), "visual_input_dependent"),
+        when(unsafe(*texts), "unsafe_text"),
+        when(needs_image(extra, *texts), "visual_input_dependent"),
         when(F.col("leakage_tags.benchmark_text_exact_match"), "exact_benchmark_text_match"),
         when(~F.col("quality_tags.ok"), "upstream_quality_reject"),
         image("source_image"),

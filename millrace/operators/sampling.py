@@ -16,10 +16,23 @@ def shuffled(key: str, seed: str = "1") -> Column:
 
 
 def rank(df: DataFrame, order: list[Column], groups: list[str] | None = None, name: str = "rn") -> DataFrame:
-    """`df` with the place of each row within its group, from 1."""
+    """`df` with the place of each row within its group, from 1. For groups that are small, or of which the first rows are asked for by a
+    filter on the place: these are found before the shuffle already."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(groups or [])).orderBy(*order)))
 
 
+def group_rank(df: DataFrame, key: str, groups: list[str], seed: str = "1", name: str = "rn", digits: int = 2) -> DataFrame:
+    """`df` with the place of each row in the seeded order of its group: ranks in 16**digits buckets of the hash, after the rows of the
+    buckets before. A group of a third of all rows is ranked by as many tasks; a null is a group."""
+    h = df.withColumn("_h", shuffled(key, seed)).withColumn("_b", F.left("_h", F.lit(digits)))
+    ids = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000")).alias(f"_g{i}") for i, g in enumerate(groups)]
+    h = h.select("*", *ids)
+    names = [f"_g{i}" for i in range(len(groups))]
+    before = h.groupBy(*names, "_b").count().withColumn("_n", F.sum("count").over(Window.partitionBy(*names).orderBy("_b")) - F.col("count")).drop("count")
+    ranked = rank(h.join(before, [*names, "_b"]), [F.col("_h"), F.col(key)], [*names, "_b"], "_r")
+    return ranked.withColumn(name, (F.col("_r") + F.col("_n")).cast("bigint")).drop("_h", "_b", "_n", "_r", *names)
+
+
 def global_rank(df: DataFrame, key: str, seed: str = "1", name: str = "rn", digits: int = 3) -> DataFrame:
     """`df` with the place of each row in the seeded order of the whole table: ranks in 16**digits buckets, plus the rows of the buckets before."""
     h = df.withColumn("_h", shuffled(key, seed)).withColumn("_b", F.left("_h", F.lit(digits)))
@@ -30,13 +43,15 @@ def global_rank(df: DataFrame, key: str, seed: str = "1", name: str = "rn", digi
 def round_robin(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` rows when one row of each group is taken in turn, groups in order; null is the empty group."""
     g = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    return rank(df.withColumn("_g", g), order, ["_g"]).orderBy("rn", "_g").limit(limit).drop("_g")
+    # no group gives more than `limit` rows, so those beyond leave before the shuffle
+    return rank(df.withColumn("_g", g), order, ["_g"]).filter(F.col("rn") <= limit).orderBy("rn", "_g").limit(limit).drop("_g")
 
 
 def round_robin_by_size(df: DataFrame, group: str, key: str, limit: int, seed: str = "1") -> DataFrame:
     """As round_robin, the larger groups first in each turn, rows in the seeded order."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_m"))
-    return rank(df.join(sizes, group), [shuffled(key, seed), F.col(key)], [group]).orderBy("rn", F.desc("_m"), group).limit(limit).drop("_m")
+    ranked = group_rank(df.join(sizes, group), key, [group], seed)
+    return ranked.orderBy("rn", F.desc("_m"), group).limit(limit).drop("_m")
 
 
 def head(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
@@ -48,7 +63,7 @@ def even_quota(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """The first max(1, limit // groups) rows of each group, groups by their first row, cut at `limit`."""
     first = df.groupBy(group).agg(F.min(order).alias("_first"))
     quota = first.agg(F.greatest(F.lit(1), F.floor(F.lit(limit) / F.count(F.lit(1)))).alias("_q"))
-    ranked = rank(df, [F.col(order)], [group]).join(first, group).crossJoin(F.broadcast(quota))  # one row
+    ranked = rank(df, [F.col(order)], [group]).filter(F.col("rn") <= limit).join(first, group).crossJoin(F.broadcast(quota))  # one row
     return ranked.filter("rn <= _q").orderBy("_first", "rn").limit(limit).drop("_first", "_q")
 
 
@@ -57,14 +72,14 @@ def proportional(df: DataFrame, group: str, key: str, size: int, seed: str = "1"
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_m"))
     total = counts.agg(F.sum("_m").alias("_n"))
     k = counts.crossJoin(F.broadcast(total)).select(group, F.greatest(F.lit(1), F.bround(F.lit(float(size)) * F.col("_m") / F.col("_n"))).alias("_k"))  # one row
-    chosen = rank(df, [shuffled(key, seed), F.col(key)], [group]).join(k, group).filter("rn <= _k").drop("_k")
+    chosen = group_rank(df, key, [group], seed).join(k, group).filter("rn <= _k").drop("_k")
     return chosen.orderBy(shuffled(key, f"{seed}+"), key).limit(size)
 
 
 def ratio_split(df: DataFrame, group: str, key: str, ratios: list[tuple[str, float]], seed: str = "1") -> DataFrame:
     """`df` with `split`: each group is cut in the seeded order by the ratios, cuts rounded half to even, the last takes the rest."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = rank(df, [shuffled(key, seed), F.col(key)], [group]).join(counts, group)
+    ranked = group_rank(df, key, [group], seed).join(counts, group)
     out, edge = None, F.lit(0)
     for name, ratio in ratios[:-1]:
         edge = edge + F.bround(F.col("_m") * F.lit(ratio))
@@ -76,7 +91,7 @@ def validation_split(df: DataFrame, group: str, key: str, ratio: float, seed: st
     """`df` with `is_val`: floor(n * ratio + 0.5) rows of each group, at least one if the ratio is positive."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_m"))
     least = 1 if ratio > 0 else 0
-    ranked = rank(df, [shuffled(key, seed), F.col(key)], [group]).join(counts, group)
+    ranked = group_rank(df, key, [group], seed).join(counts, group)
     return ranked.withColumn("is_val", F.col("rn") <= F.greatest(F.lit(least), F.floor(F.col("_m") * F.lit(ratio) + F.lit(0.5)))).drop("_m")
 
 

@@ -127,6 +127,43 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, kind
     return lost.groupBy(F.col("_k").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("type"), "key", "rows")
 
 
+def dataset_errors(tasks: DataFrame, required: list[str], children: dict[str, DataFrame], images: DataFrame | None = None, renders: DataFrame | None = None) -> DataFrame:
+    """(type, task_id, detail) of everything wrong with a data set; all of them, `summaries.truncated` shows the first.
+
+    tasks: task_id, and where they have them source_image, weights (array of doubles), leaked (boolean); children: tables with
+    task_id, which must be known; images: path, all that exist; renders: image_path. A missing field is a null one. Weights must
+    sum to 1 within 1e-6; none at all are wrong too. A task delivered twice has two rows of errors, and is itself one.
+    """
+    key = F.col("task_id").cast("string").alias("task_id")
+    row = lambda df, kind, detail: df.select(F.lit(kind).alias("type"), key, detail.cast("string").alias("detail"))
+    twice = tasks.groupBy("task_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in required)))
+    out = row(twice, "duplicate_task_ids", F.col("m")).unionByName(row(tasks.filter(F.size(missing) > 0), "missing_task_fields", F.array_join(missing, ",")))
+    if images is not None:
+        known = images.select(F.col("path").alias("_p")).filter("_p is not null").distinct()
+        out = out.unionByName(row(tasks.join(known, F.col("source_image") == F.col("_p"), "left_anti"), "missing_source_image", F.col("source_image")))
+        if renders is not None:
+            lost = renders.filter("image_path is not null").join(known, F.col("image_path") == F.col("_p"), "left_anti").unionByName(renders.filter("image_path is null"))
+            out = out.unionByName(row(lost, "missing_render_images", F.col("image_path")))
+    if "weights" in tasks.columns:
+        total = F.aggregate(F.coalesce("weights", F.array().cast("array<double>")), F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
+        out = out.unionByName(row(tasks.filter((F.coalesce(F.size("weights"), F.lit(0)) <= 0) | (F.abs(total - 1.0) > 1e-6)), "bad_checklist_weights", F.round(total, 4)))
+    if "leaked" in tasks.columns:
+        out = out.unionByName(row(tasks.filter(F.coalesce("leaked", F.lit(False))), "exact_benchmark_text_match", F.lit(None)))
+    ids = tasks.select(F.col("task_id").alias("_t")).distinct()
+    for name, child in children.items():
+        out = out.unionByName(row(child.join(ids, F.col("task_id") == F.col("_t"), "left_anti"), f"unknown_task_id_in_{name}", F.lit(None)))
+    return out
+
+
+def unknown_values(values: list[str], allowed: list[str], what: str) -> list[str]:
+    """`values` without blanks, in order; an error that names what isn't allowed."""
+    given = [v.strip() for v in values if v.strip()]
+    if bad := sorted(set(given) - set(allowed)):
+        raise ValueError(f"unknown {what}: {', '.join(bad)}")
+    return given
+
+
 def duplicates(df: DataFrame, key: str, kind: str) -> DataFrame:
     """(type, key, rows): keys found more than once."""
     return df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.lit(kind).alias("type"), "key", "rows")

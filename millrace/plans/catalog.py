@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import reward as R
@@ -125,7 +125,8 @@ def text_values(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with n as (select doc_id, {norm("coalesce(text, '')")} as norm from documents) select min(doc_id) as doc_id, sha256(norm) as hash, count(*) as copies from n group by norm""")
 def exact_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "documents").select("doc_id", T.sha256(T.normalize(F.coalesce("text", F.lit("")))).alias("hash"))
-    return n.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "hash", "copies")
+    copies = n.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"))
+    return dedup.first_wins(n, ["hash"], [F.col("doc_id")]).join(copies, "hash").select("doc_id", "hash", "copies")
 
 
 KEYS = f"""trim(coalesce(source_image.sha256, '')) as k1, trim(coalesce(target_image.sha256, '')) as k2, {norm("coalesce(instruction, '')")} as k3"""
@@ -644,8 +645,7 @@ def score_item_heads(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with w as (select event_id, user_id, value, avg(value) over (partition by user_id) as m, stddev_pop(value) over (partition by user_id) as s from events) select event_id, cast(round((value - m) / (s + 1e-6), 4) as decimal(12, 4)) as advantage from w""")
 def group_advantage(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id")
-    return table(spark, d, "events").select("event_id", F.round(R.advantage(F.col("value"), w), 4).cast("decimal(12,4)").alias("advantage"))
+    return R.with_advantage(table(spark, d, "events"), "user_id", "value").select("event_id", F.round("advantage", 4).cast("decimal(12,4)").alias("advantage"))
 
 
 @query("""select user_id, count(*) as rollouts, count_if(value >= 10) as passed, max_by(event_id, {'v': value, 'e': event_id}) as best, min_by(event_id, {'v': value, 'e': event_id}) as worst, max(value) - min(value) > 0.2 as usable, count_if(value >= 10) = 0 as all_wrong from events group by 1""")
@@ -689,7 +689,7 @@ def vqa_format_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with h as (select distinct image_id, lower(image.ahash) as h from wikimedia_source_pool_v2_seed where regexp_full_match(image.ahash, '[0-9a-fA-F]{16}')), x as (select image_id, h, ('0x' || h)::ubigint as v from h)
-select least(a.image_id, b.image_id) as image_id_a, greatest(a.image_id, b.image_id) as image_id_b, bit_count(xor(a.v, b.v))::int as bits from x a join x b on a.image_id < b.image_id and bit_count(xor(a.v, b.v)) <= 6""")
+select least(a.image_id, b.image_id) as image_id_a, greatest(a.image_id, b.image_id) as image_id_b, bit_count(xor(a.v, b.v))::int as bits from x a join x b on a.image_id < b.image_id and bit_count(xor(a.v, b.v)) <= 12""")
 def hamming_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.hamming_pairs(table(spark, d, POOL).select("image_id", F.col("image.ahash").alias("h")), "image_id", "h")
 
@@ -760,7 +760,7 @@ def solver_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("id")
     arms = [("A", "B", 5), ("B", "C", 3), ("A", "C", 11), ("C", "D", 4), ("B", "D", 7)]
     edges = _range(spark, 200).select(i.alias("graph"), F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.pmod(i, F.lit(m)) + 1).alias("w")) for a, b, m in arms))).alias("e")).select("graph", "e.a", "e.b", "e.w")
-    return solvers.shortest_paths(edges, "A", "D", 4).select("graph", F.array_join("path", ">").alias("path"), "distance")
+    return solvers.shortest_paths(edges, "A", "D").select("graph", F.array_join("path", ">").alias("path"), "distance")
 
 
 @query("""select i as id, (i % 4 + 1)::int as value from range(200) t(i)""")
@@ -794,6 +794,9 @@ def streaming_long_collection(spark: SparkSession, d: str) -> DataFrame:
     return collection.accepted().select(T.sha256(F.col("k")).alias("hash"))
 
 
+from millrace.plans import records  # noqa: E402, F401  # registers its queries by the decorator above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set already; a temporary one only if neither is given (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one set already. Only a local session, which has no other
+    machines, gets a temporary one; on a cluster a missing folder is an error."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
         conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not conf and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="millrace-"))
         at = sc.getCheckpointDir()
     return at
@@ -39,8 +43,18 @@ def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
     return out
 
 
+#: Bytes of a scan up to which it is spread: at most that much is ever shuffled for it.
+SPREAD_BYTES = 1 << 28
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` in at least as many partitions as there are cores, for costly work on each row; tables of many files are left as they are."""
+    """`df` of few bytes in as many partitions as there are cores, for costly work on each row.
+
+    Large tables are split by their files' sizes already and are never shuffled for this, whatever the number of cores: the
+    size is that of the optimized plan, which for columns of a scan follows from its files.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
