@@ -16,6 +16,7 @@ from millrace.llm import p4_near_duplicates as p4
 from millrace.llm import p5_encoding as p5
 from millrace.llm import p6_leakage as p6
 from millrace.llm import p7_quality as p7
+from millrace.llm import sql
 from millrace.session import cut, shared_dir, table
 
 SEEDS, TASKS, PAIRS, POOL = "real_seed_prompts_v2_seed", "tasks_v1_refined_pilot3", "real_edit_pairs_rejected_v2_hf150", "wikimedia_source_pool_v2_seed"
@@ -105,10 +106,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each record with five or more words: the smallest key of its group, and its number of links."""
-    sets = ns.word_sets(_instructions(spark, d), "text", "task_id")
+    """One row for each record: the smallest key of its group, and its number of links; records without five words are groups of their own."""
+    rows = _instructions(spark, d)
+    sets = ns.word_sets(rows, "text", "task_id")
     unique = ns.classes(sets).persist(StorageLevel.MEMORY_AND_DISK)
     links = cut(p4.near_links(unique).select("a", "b"))
+    unique.unpersist()
     members = cut(sets.select("task_id", "sid").distinct())
     size = members.groupBy("sid").agg(F.count(F.lit(1)).alias("m"), F.min("task_id").alias("first"))
     roots = cut(p3.components(links))
@@ -116,7 +119,10 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     near = both.join(size.select(F.col("sid").alias("b"), "m"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("m").alias("others"))
     per = size.join(roots.withColumnRenamed("v", "sid"), "sid", "left").join(near, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     heads = per.groupBy("root").agg(F.min("first").alias("group_id"))
-    return members.join(per.join(heads, "root"), "sid").select("task_id", "group_id", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("links"))
+    found = members.join(per.join(heads, "root"), "sid").select("task_id", "group_id", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("links"))
+    alone = rows.select("task_id").distinct().join(found, "task_id", "left_anti").select("task_id", F.col("task_id").alias("group_id"), F.lit(0).cast("long").alias("links"))
+    # a record whose copies differ counts once
+    return found.unionByName(alone).groupBy("task_id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))
 
 
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +154,15 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return p7.quality(table(spark, d, "documents"))
 
 
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Of the statistics those that count words and lines."""
+    q = p7.quality(table(spark, d, "documents"))
+    return q.select("doc_id", "n_words", "n_lines", *(F.round(c, 6).alias(c) for c in ("mean_word", "ends", "bullet_lines")))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_latest": p2_latest, "p2_pool": p2_pool, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_statistics": p7_statistics}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_latest": p2_latest, "p2_pool": p2_pool, "p2_batches": p2_batches, "p3_found": p3_found, "p3_splits": p3_splits, "p3_totals": p3_totals, "p4_found": p4_found, "p4_groups": p4_groups, "p5_ids": p5_ids, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_statistics": p7_statistics, "p7_counts": p7_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql(STANDING)
