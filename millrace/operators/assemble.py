@@ -256,3 +256,49 @@ def seeds_from_hits(bank: DataFrame, hits: DataFrame, norms: DataFrame, prefix:
     before = before.select("query", (F.sum("m").over(Window.orderBy("query")) - F.col("m")).alias("_n"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("at", "sha256")) + F.col("_n") - 1
     return kept.join(before, "query").select(F.concat(F.lit(prefix), F.format_string("%06d", place)).alias("task_id"), "query", "sha256", "instruction")
+
+
+def plain_json(**fields: Column) -> Column:
+    """An object as JSON with its keys in order and a space after colons and commas, whose digests are the stable ids of rows; nulls stand."""
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    parts = [F.concat(F.lit(f'"{k}": '), value(fields[k])) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def stable_id(length: int = 20, **fields: Column) -> Column:
+    """The first digits of the SHA-256 of `plain_json`; fields are to be numbers and texts."""
+    return F.left(F.sha2(plain_json(**fields), 256), F.lit(length))
+
+
+#: Fields of a review's row.
+COMPACT = ["source_id", "dataset_id", "split", "row_idx", "instruction", "edit_type", "source_image", "target_image", "license"]
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """Edit pairs as a reviewer sees them, with their id; fields that the table lacks are null."""
+    at = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    rows = df.select(*map(at, COMPACT))
+    return rows.withColumn("review_id", stable_id(source_id=F.col("source_id"), row_idx=F.col("row_idx"), instruction=F.col("instruction"), source_sha=F.col("source_image.sha256"), target_sha=F.col("target_image.sha256")))
+
+
+def review_sample(tasks: DataFrame, renders: DataFrame, order: str) -> DataFrame:
+    """Sampled tasks with their last teacher and negative image; renders: task_id, render_type, image_path, and `order`."""
+    kinds = {"teacher_image": "teacher_render", "negative_image": "negative_render"}
+    found = renders.groupBy("task_id").agg(*(F.max_by(F.when(F.col("render_type") == k, F.col("image_path")), F.when(F.col("render_type") == k, F.col(order))).alias(c) for c, k in kinds.items()))
+    return tasks.join(found, "task_id", "left")
+
+
+def derived(tasks: DataFrame, level: str) -> dict[str, DataFrame]:
+    """The tables that come of each task (task_id, source_image, instruction, teacher, negative, failure_type, `level`), each one projection:
+    renders and verifier items, two a task; filter scores; preference and experience pairs."""
+    item = lambda end, image, label, failure: F.struct(F.concat("task_id", F.lit(f"_verifier_{end}")).alias("item_id"), F.col(image).alias("candidate_image"), F.lit(label).alias("label"), failure.alias("failure_type"))
+    both = F.array(item("pos", "teacher", "pass", F.lit(None).cast("string")), item("neg", "negative", "fail", F.col("failure_type")))
+    image = lambda kind, c: F.struct(F.lit(kind).alias("render_type"), F.col(c).alias("image_path"))
+    base = F.greatest(F.lit(0.76), 0.96 - 0.025 * F.col(level))
+    return {
+        "renders": tasks.select("task_id", F.explode(F.array(image("teacher_render", "teacher"), image("negative_render", "negative"))).alias("x")).select("task_id", "x.*"),
+        "verifier_items": tasks.select("task_id", "source_image", "instruction", F.explode(both).alias("x")).select("task_id", "source_image", "instruction", "x.*"),
+        "filter_scores": tasks.select("task_id", base.alias("program_executability"), (base - 0.02).alias("evidence_grounding"), (base - 0.01).alias("preservation"), F.lit(True).alias("accept_sft")),
+        "preference_pairs": tasks.select("task_id", F.col("teacher").alias("chosen"), F.col("negative").alias("rejected")),
+        "experience_pairs": tasks.select("task_id", F.col("teacher").alias("success"), F.col("negative").alias("failure"), "failure_type"),
+    }

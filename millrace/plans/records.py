@@ -418,3 +418,40 @@ def first_seen_before_gate(spark: SparkSession, d: str) -> DataFrame:
     k = [F.trim(F.coalesce(f"{c}.sha256", F.lit(""))).alias(n) for c, n in (("source_image", "k1"), ("target_image", "k2"))]
     p = table(spark, d, PAIRS).select("sample_id", "batch_number", "ingested_at", *k, F.coalesce("quality_tags.ok", F.lit(True)).alias("ok"))
     return dedup.first_wins(p, ["k1", "k2"], [F.col("batch_number"), F.col("sample_id"), F.col("ingested_at")]).select("sample_id", "k1", "k2", "ok")
+
+
+# ---- reviews and tables made of tasks
+
+_SQ = "replace(replace(replace(replace(replace({}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+
+
+def _js(x: str) -> str:
+    return f"coalesce('\"' || {_SQ.format(x)} || '\"', 'null')"
+
+
+@query(f"""select sample_id, ingested_at, left(sha256('{{"instruction": ' || {_js("instruction")} || ', "row_idx": ' || coalesce(row_idx::varchar, 'null') || ', "source_id": ' || {_js("source_id")} || ', "source_sha": ' || {_js("source_image.sha256")} || ', "target_sha": ' || {_js("target_image.sha256")} || '}}'), 20) as review_id from {PAIRS}""")
+def review_ids(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, PAIRS)
+    made = assemble.stable_id(source_id=F.col("source_id"), row_idx=F.col("row_idx"), instruction=F.col("instruction"), source_sha=F.col("source_image.sha256"), target_sha=F.col("target_image.sha256"))
+    return p.select("sample_id", "ingested_at", made.alias("review_id"))
+
+
+@query(f"""with t as (select distinct task_id from {TASKS}) select 'renders' as name, 2 * count(*) as rows, null::double as least from t union all select 'verifier_items', 2 * count(*), null from t union all select 'filter_scores', count(*), round(min(greatest(0.76, 0.96 - 0.025::double * (length(task_id) % 10))), 4) from t
+union all select 'preference_pairs', count(*), null from t union all select 'experience_pairs', count(*), null from t""")
+def derived_tables(spark: SparkSession, d: str) -> DataFrame:
+    path = lambda x: F.concat(F.lit(f"{x}/"), "task_id").alias(x)
+    t = table(spark, d, TASKS).select("task_id").distinct().select("task_id", path("source_image"), F.lit("do").alias("instruction"), path("teacher"), path("negative"), F.lit("wrong_value").alias("failure_type"), F.pmod(F.length("task_id"), F.lit(10)).alias("level"))
+    out = None
+    for name, df in assemble.derived(t, "level").items():
+        least = F.round(F.min("program_executability"), 4) if name == "filter_scores" else F.lit(None).cast("double")
+        n = df.agg(F.count(F.lit(1)).alias("rows"), least.alias("least")).select(F.lit(name).alias("name"), "rows", "least")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(f"""with o as (select task_id, arg_max(source_image, ingested_at) filter (where render_status = 'rendered') as t, arg_max(source_image, ingested_at) filter (where coalesce(render_status, '') <> 'rendered') as n from {SEEDS} where source_image is not null group by 1) select x.task_id, t as teacher_image, n as negative_image from (select distinct task_id from {SEEDS}) x left join o using (task_id)""")
+def review_sample(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, SEEDS)
+    kind = F.when(F.coalesce("render_status", F.lit("")) == "rendered", "teacher_render").otherwise("negative_render")
+    renders = s.filter("source_image is not null").select("task_id", kind.alias("render_type"), F.col("source_image").alias("image_path"), "ingested_at")
+    return assemble.review_sample(s.select("task_id").distinct(), renders, "ingested_at")

@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def document_rows(spark: SparkSession, path: str, *ids: str) -> DataFrame:
+    """(sample_id, raw) of the rows of benchmark documents: an array, or an object whose `data` is one; the id is the first of the named
+    fields that a row has, else its place from 0."""
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    rows = F.when(F.startswith("v", F.lit("[")), F.col("v")).otherwise(F.get_json_object("v", "$.data"))
+    each = whole.select(F.posexplode(F.from_json(rows, "array<string>")).alias("at", "raw"))
+    return each.select(F.coalesce(*(F.get_json_object("raw", f"$.{i}") for i in ids), F.col("at").cast("string")).alias("sample_id"), "raw")
+
+
 def instruction_items(docs: DataFrame) -> DataFrame:
     """(benchmark, sample_id, field, text) of rows {index, instruction, reference}: the texts that aren't blank."""
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("instruction", "reference")))

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 
+#: Modes of PNG images by the colour type of their header.
+MODES = {"00": "L", "02": "RGB", "03": "P", "04": "LA", "06": "RGBA"}
+
+
 def records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256, kind, width, height) of each file; sizes of PNG files come from their header."""
+    """(path, bytes, sha256, kind, width, height, mode) of each file; sizes and modes of PNG files come from their header."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    head = F.hex(F.substring("content", 1, 24))
+    head = F.hex(F.substring("content", 1, 26))
     png = F.startswith(head, F.lit("89504E470D0A1A0A"))
     number = lambda at: F.when(png, F.conv(F.substring(head, at, 8), 16, 10).cast("int"))
     kind = F.when(png, "png").when(F.startswith(head, F.lit("FFD8FF")), "jpeg").otherwise("other")
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("kind"), number(33).alias("width"), number(41).alias("height"))
+    mode = F.element_at(F.create_map(*(F.lit(x) for pair in MODES.items() for x in pair)), F.when(png, F.substring(head, 51, 2)))
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("kind"), number(33).alias("width"), number(41).alias("height"), mode.alias("mode"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,13 +39,13 @@ def data_url(content: Column, kind: str = "png") -> Column:
 
 
 def _average_hashes(gray: pd.Series) -> pd.Series:
-    def one(p) -> str | None:
-        if p is None or len(p) != 64:
-            return None
-        mean = sum(p) / 64
-        return f"{int(''.join('1' if x >= mean else '0' for x in p), 2):016x}"
-
-    return gray.map(one)
+    whole = gray.map(lambda p: p is not None and len(p) == 64).to_numpy(bool)
+    out = pd.Series([None] * len(gray), index=gray.index, dtype=object)
+    if whole.any():
+        pixels = np.stack(gray[whole].to_list()).astype(np.float64)
+        bits = np.packbits(pixels >= pixels.mean(1, keepdims=True), axis=1)
+        out[whole] = [b.tobytes().hex() for b in bits]
+    return out
 
 
 def average_hash(gray: Column) -> Column:

@@ -38,8 +38,17 @@ class Page(InputPartition):
         self.offset = offset
 
 
-def register(spark: SparkSession, name: str, fetch: Callable[[int, int], dict]) -> None:
-    """Registers the source `name`; options: offsets (comma-separated), length."""
+def row_count(info: Callable[[], dict]) -> int | None:
+    """The number of rows that an answer states as `total`; None if there is no answer or it isn't a positive number."""
+    try:
+        total = with_retries(info, pause=0.01).get("total")
+    except Exception:  # noqa: BLE001  without a count, pages are visited in turn
+        return None
+    return total if isinstance(total, int) and not isinstance(total, bool) and total > 0 else None
+
+
+def register(spark: SparkSession, name: str, fetch: Callable[[int, int], dict], first: Callable[[], dict] | None = None) -> None:
+    """Registers the source `name`; options: offsets (comma-separated), length. first: another way to the first page, if fetch fails there."""
 
     class Reader(DataSourceReader):
         def __init__(self, options) -> None:
@@ -51,7 +60,12 @@ def register(spark: SparkSession, name: str, fetch: Callable[[int, int], dict])
 
         def read(self, partition: Page) -> Iterator[tuple]:
             try:
-                page = with_retries(lambda: fetch(partition.offset, self.length), pause=0.01)
+                try:
+                    page = with_retries(lambda: fetch(partition.offset, self.length), pause=0.01)
+                except Exception:  # noqa: BLE001
+                    if partition.offset or first is None:
+                        raise
+                    page = with_retries(first, pause=0.01)
             except Exception as e:  # noqa: BLE001  a failed page is a row that says so
                 yield (partition.offset, None, None, f"{type(e).__name__}: {e}")
                 return
@@ -77,6 +91,15 @@ def pages(spark: SparkSession, name: str, offsets: list[int], length: int) -> Da
     return spark.read.format(name).option("offsets", ",".join(map(str, offsets))).option("length", str(length)).load()
 
 
+def enriched(catalog: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """A catalogue with what was fetched of its entries: facts (key, facts, error), several or none an entry; the first good answer counts,
+    else the first error, which is recorded in `error`."""
+    from pyspark.sql import functions as F
+
+    one = facts.groupBy(key).agg(F.min("facts").alias("facts"), F.min("error").alias("_error"))
+    return catalog.join(one, key, "left").withColumn("error", F.when(F.col("facts").isNull(), F.col("_error"))).drop("_error")
+
+
 def search(bank: DataFrame, hits: DataFrame, allowed, limit: int) -> DataFrame:
     """The first `limit` allowed hits of each query of the bank; hits: query, rank, and what `allowed` looks at."""
     from millrace.operators.sampling import head
