@@ -3,9 +3,11 @@
 Content-defined chunks: a rolling hash of the last WINDOW words of a record, as read,
 decides where it is cut, so an edit changes only the chunks it touches. Chunks hold
 2**level words on average; the level rises with the record, so that a record of n
-words has 8 to 16 chunks (under 16 words, each word is one), and records of 32 words or
-more are cut twice, by two hashes: as many edits as nearly equal texts can have hardly ever touch all
-chunks of both (in a simulation none of 15,000 pairs of 9 to 63 words, 2 of 1,500 of 64).
+words has 12 to 24 chunks (under 24 words, each word is one), and records of 48 words
+or more are cut twice, by two hashes. Longer chunks lose pairs: as many edits as nearly
+equal texts can have left none of 24,000 simulated pairs of 9 to 128 words without a
+shared chunk; with half as many chunks, 3 of the 4,576 linked pairs of texts of the
+larger check tables were lost, and none with these (against the exact prefix filter).
 A record also gets the chunks of the level that its longest partner has.
 
 Chunk digests are joined across splits, the lengths of shared chunks are summed for
@@ -39,7 +41,7 @@ from millrace.session import cut
 TRAIN, EVAL = ("sft_train",), ("sft_val", "bench_test", "hard_heldout")
 WINDOW, OVERLAP = 3, 0.05
 #: Words of the shortest record of level 1; each level doubles them.
-SPAN = 16
+SPAN = 24
 #: The two hashes by which records are cut.
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 #: The level of `record_overlap`, which compares records of all lengths: 4 words a chunk.
@@ -119,7 +121,7 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
             own, most = levels(n), levels(n * 10 // ns.TENTHS)
             field = ns.mix(b.column("field").to_numpy().astype(np.uint64))
             for up, k in ((0, 0), (0, 1), (1, 0), (1, 1)):
-                # records of under two spans have so many chunks that one hash will do
+                # records of under two spans have chunks so short that one hash will do
                 some = np.flatnonzero((own + up <= most) & ((own + up > 1) | (k == 0)))
                 if len(some):
                     level = own + up

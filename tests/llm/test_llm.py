@@ -164,11 +164,11 @@ def test_p1_hot_short_templates(spark):
 
 
 def test_p1_chunks_survive_edits():
-    """Of pairs with as many changed words as nearly equal texts can have, next to none lose all chunks of both cuts."""
+    """Of pairs with as many changed words as nearly equal texts can have, none lose all chunks of both cuts."""
     import numpy as np
 
     r = np.random.default_rng(5)
-    for n, most in ((9, 0), (17, 0), (31, 0), (33, 3), (48, 3), (64, 6)):
+    for n in (9, 23, 24, 47, 48, 95, 96):
         lost = 0
         for _ in range(400):
             a = r.integers(-(2**31), 2**31, n).astype(np.int32)
@@ -181,7 +181,7 @@ def test_p1_chunks_survive_edits():
                 d = p1.digests(seq, begin, stop)
                 shared += len(np.intersect1d(d[row == 0], d[row == 1]))
             lost += not shared
-        assert lost <= most
+        assert not lost
 
 
 def test_p1_hot_chunks_are_grown(spark, monkeypatch):
