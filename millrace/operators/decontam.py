@@ -44,6 +44,14 @@ def exact_flags(df: DataFrame, text: str, items: DataFrame) -> DataFrame:
     return df.withColumn("_norm", T.normalize(F.coalesce(F.col(text), F.lit("")))).join(norms, "_norm", "left").withColumn("exact", F.coalesce("exact", F.lit(False))).drop("_norm")
 
 
+def held_flags(df: DataFrame, texts: dict[str, Column], items: DataFrame) -> DataFrame:
+    """`df` with a boolean column for each named text: whether it is, normalized, a held-out text. Null and empty texts are none."""
+    norms = small(fingerprints(items).filter("norm <> ''").select("norm").distinct())
+    for name, text in texts.items():
+        df = df.withColumn("_norm", T.normalize(text)).join(norms.select(F.col("norm").alias("_norm"), F.lit(True).alias(name)), "_norm", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_norm")
+    return df
+
+
 def grams(df: DataFrame, key: str, norm: Column, n: int = 5) -> DataFrame:
     """(key, size, gram): a row for each distinct n-gram of each text; a text of fewer words is one."""
     return df.select(key, norm.alias("_n")).filter("_n <> ''").mapInArrow(_gram_rows(n, False), f"{key} {dict(df.dtypes)[key]}, size int, gram string")

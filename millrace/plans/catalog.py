@@ -273,7 +273,7 @@ def referential_integrity(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def _refined_sql() -> str:
+def _refined_sql(held: bool = False) -> str:
     n = {c: norm(f"refined.{c}") for c in validate.REQUIRED}
     short = dict(zip(validate.REQUIRED, ["instruction", "editor_prompt", "rational", "reasoning"], strict=True))
     missing = [_gate(f"coalesce(refined.{c}, '') = ''", f"missing:{c}") for c in validate.REQUIRED] + [_gate("coalesce(len(refined.edit_operations), 0) = 0", "missing:edit_operations"), _gate("coalesce(cardinality(refined.atomic_checklist), 0) = 0", "missing:atomic_checklist")]
@@ -282,11 +282,16 @@ def _refined_sql() -> str:
         rest.append(_gate(f"len(string_split({n[c]}, ' ')) < 4", f"too_short:{short[c]}"))
         rest += [_gate(f"contains({n[c]}, '{x}')", f"forbidden_term:{short[c]}") for x in validate.FORBIDDEN]
         rest += [_gate(f"contains({n[c]}, '{x}')", f"glue_retained:{short[c]}") for x in validate.GLUE]
+        rest += [_gate(f"{n[c]} in (select norm from items where norm <> '')", f"benchmark_text_match:{short[c]}")] * held
     rest.append(_gate(f"{n['editor_prompt']} = {n['instruction']}", "editor_prompt_echoes_instruction"))
     rest.append(_gate("len(list_filter(refined.edit_operations, lambda o: o.target is not distinct from o.region_hint and o.region_hint is not distinct from o.change)) > 0", "edit_op_still_boilerplate"))
     count = "coalesce(list_sum(list_transform(map_values(refined.atomic_checklist), lambda q: coalesce(len(q), 0))), 0)"
     rest.append(f"case when {count} < 3 or {count} > 8 then ['checklist_count:' || {count}::int] else [] end")
-    return f"with e as (select task_id, ingested_at, {' || '.join(missing)} as m, {' || '.join(rest)} as r from {TASKS}) select task_id, ingested_at, array_to_string(case when len(m) > 0 then m else r end, '|') as errors from e"
+    if held:
+        objects = "list_sort(list_distinct(list_filter(flatten(list_transform(coalesce(refined.edit_operations, []), lambda o: string_split(" + norm("coalesce(o.target, '')") + ", ' '))), lambda w: length(w) > 3)))"
+        seen = f"concat_ws(' ', {', '.join(n.values())})"
+        rest.append(f"case when len({objects}) > 0 and not coalesce(list_bool_or(list_transform({objects}, lambda w: contains({seen}, w))), false) then ['anchor_object_missing:' || array_to_string({objects}[1:3], ',')] else [] end")
+    return f"with {ITEMS + ', ' if held else ''}e as (select task_id, ingested_at, {' || '.join(missing)} as m, {' || '.join(rest)} as r from {TASKS}) select task_id, ingested_at, array_to_string(case when len(m) > 0 then m else r end, '|') as errors from e"
 
 
 @query(_refined_sql())
@@ -294,6 +299,18 @@ def validate_refined(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, TASKS).select("task_id", "ingested_at", F.array_join(validate.refined_errors(F.col("refined")), "|").alias("errors"))
 
 
+@query(_refined_sql(True).replace("benchmark_text_index)", f"(select item_id, normalized_text, text from benchmark_text_index union all select 0, null, min(refined.editor_prompt) from {TASKS}))"))
+def validate_refined_held(spark: SparkSession, d: str) -> DataFrame:
+    """As validate_refined, against held-out texts (one of the prompts is taken as one) and the objects that the operations name."""
+    t = table(spark, d, TASKS)
+    items = table(spark, d, "benchmark_text_index").select("text", "normalized_text", "text_hash").unionByName(t.agg(F.min("refined.editor_prompt").alias("text")).select("text", F.lit(None).cast("string").alias("normalized_text"), F.lit(None).cast("string").alias("text_hash")))
+    names = {f"h{i}": F.col(f"refined.{c}") for i, c in enumerate(validate.REQUIRED)}
+    flagged = decontam.held_flags(t.select("task_id", "ingested_at", "refined"), names, items)
+    objects = F.transform(F.coalesce("refined.edit_operations", F.array()), lambda o: F.coalesce(o["target"], F.lit("")))
+    errors = validate.refined_errors(F.col("refined"), F.array(*map(F.col, names)), objects)
+    return flagged.select("task_id", "ingested_at", F.array_join(errors, "|").alias("errors"))
+
+
 @query("""select c_mktsegment, n_name, r_name, count(*) as lines, count(distinct o_orderkey) as orders, count_if(l_returnflag = 'R') as returned
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey
 where o_orderstatus <> 'P' and l_quantity >= 10 group by 1, 2, 3""")
