@@ -2,12 +2,12 @@
 
 Content-defined chunks: a rolling hash of the last WINDOW words of a record, as read,
 decides where it is cut, so an edit changes only the chunks it touches. Chunks hold
-2**level words on average; the level rises with the record, so that a record of n
-words has 12 to 24 chunks (under 24 words, each word is one), and records of 48 words
-or more are cut twice, by two hashes. Longer chunks lose pairs: as many edits as nearly
-equal texts can have left none of 24,000 simulated pairs of 9 to 128 words without a
-shared chunk; with half as many chunks, 3 of the 4,576 linked pairs of texts of the
-larger check tables were lost, and none with these (against the exact prefix filter).
+2**level words on average: 1 in records of under 24 words, 2 in those of under 48, 4 in
+longer ones, which are cut twice, by two hashes. Of simulated pairs with as many changed
+words as nearly equal texts can have, none of 240,000 (9 to 400 words) were left without a shared
+chunk. Longer chunks lose pairs: a mean of 8 words from 96 words on lost 6 of 20,000, and with
+half as many chunks at all lengths 3 of the 4,576 linked pairs of texts of the larger check
+tables were lost, none with these (against the exact prefix filter).
 A record also gets the chunks of the level that its longest partner has.
 
 Chunk digests are joined across splits, the lengths of shared chunks are summed for
@@ -40,12 +40,10 @@ from millrace.session import cut
 
 TRAIN, EVAL = ("sft_train",), ("sft_val", "bench_test", "hard_heldout")
 WINDOW, OVERLAP = 3, 0.05
-#: Words of the shortest record of level 1; each level doubles them.
-SPAN = 24
+#: Words of the shortest record of level 1, half those of level 2, which is the last.
+SPAN, LAST = 24, 2
 #: The two hashes by which records are cut.
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
-#: The level of `record_overlap`, which compares records of all lengths: 4 words a chunk.
-PLAIN = 2
 
 
 def split_name(split: Column) -> Column:
@@ -55,7 +53,7 @@ def split_name(split: Column) -> Column:
 
 def levels(n: np.ndarray) -> np.ndarray:
     """The level of records of n distinct words."""
-    return np.maximum(np.floor(np.log2(np.maximum(n, 1) / SPAN)).astype(int) + 1, 0)
+    return np.clip(np.floor(np.log2(np.maximum(n, 1) / SPAN)).astype(int) + 1, 0, LAST)
 
 
 def chunks(seq: np.ndarray, ends: np.ndarray, level: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +226,7 @@ def record_overlap(seeds: DataFrame, standing: tuple[str, ...] = ()) -> DataFram
         for b in batches:
             seq, ends = _flat(b, "seq")
             if len(seq):
-                begin, stop, row = chunks(seq, ends, np.full(b.num_rows, PLAIN), SEEDS[0])
+                begin, stop, row = chunks(seq, ends, np.full(b.num_rows, LAST), SEEDS[0])
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(digests(seq, begin, stop).view(np.int64)), pa.array((stop - begin).astype(np.int32)), *(b.column(c).take(at) for c in ("sid", "field", "side"))], names=["d", "size", "sid", "field", "side"])
 

@@ -168,7 +168,7 @@ def test_p1_chunks_survive_edits():
     import numpy as np
 
     r = np.random.default_rng(5)
-    for n in (9, 23, 24, 47, 48, 95, 96):
+    for n in (9, 23, 24, 47, 48, 95, 96, 300):
         lost = 0
         for _ in range(400):
             a = r.integers(-(2**31), 2**31, n).astype(np.int32)
