@@ -47,8 +47,8 @@ from millrace.session import cut
 CLASSES, SPAN = 4, 9
 #: Bits of a stored distance in the range key, and those of them behind the point.
 BITS, FRACTION = 18, 12
-#: Folders of each stored table, by range.
-PARTS = 64
+#: Keys of a batch up to which they are pushed down into the scan of a stored table.
+FEW = 4096
 #: Fixed value: the SHA-256 digest of no bytes.
 EMPTY_DIGEST = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -195,35 +195,33 @@ def pool_records(pool: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Everything accepted so far, as tables in a folder; a new batch is joined with the stored ranges that it touches.
+    """Everything accepted so far, as tables in a folder; a new batch is joined with the stored rows of its own keys.
 
-    keys: the pivot-distance table of accepted classes, by range of the key; sets: their words; rows: ids of accepted
-    source rows; digests: those of accepted pool images. Each table lies in PARTS folders by range of its key, and a batch
-    reads only the folders its own keys lie in. `accept` appends; nothing stored is rewritten or processed again.
+    keys: the pivot-distance table of accepted classes; sets: their words; rows: ids of accepted source rows; digests: those of
+    accepted pool images. Each append is range-partitioned and sorted by key. A batch of up to FEW keys pushes them into the scan,
+    so Parquet reads only pages whose range holds one; a larger batch touches nearly all ranges and scans the table once, without
+    the words. `accept` appends; nothing stored is rewritten or processed again.
     """
 
     TABLES = {"keys": ("key", "key long, sid long, bm long"), "sets": ("sid", "sid long, n int, bm long, words array<int>"), "rows": ("r", "r long"), "digests": ("h", "h long, digest string")}
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-
-    @staticmethod
-    def _part(key: str) -> Column:
-        """The folder of a 64-bit key: keys in order lie in folders in order."""
-        return F.shiftright(F.shiftright(F.col(key), 32).cast("int"), 32 - PARTS.bit_length() + 1)
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(FEW))
 
     def stored(self, name: str, near: DataFrame) -> DataFrame:
-        """The rows of a stored table in the folders that the keys of `near` lie in; at most PARTS numbers come to the driver."""
+        """The rows of a stored table that can join with `near` by the table's key."""
         key, schema = self.TABLES[name]
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)
-        touched = [r[0] for r in near.select(self._part(key)).distinct().collect()]
-        return self.spark.read.schema(f"{schema}, part int").parquet(f"{self.folder}/{name}").filter(F.col("part").isin(touched)).drop("part")
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        own = near.select(key).filter(F.col(key).isNotNull()).distinct().limit(FEW + 1).collect()
+        return rows.filter(F.col(key).isin([r[0] for r in own])) if len(own) <= FEW else rows
 
     def append(self, name: str, rows: DataFrame) -> None:
         key = self.TABLES[name][0]
-        rows.withColumn("part", self._part(key)).repartitionByRange("part", key).sortWithinPartitions("part", key).write.mode("append").partitionBy("part").parquet(f"{self.folder}/{name}")
+        rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def _store(self, won: DataFrame, sets: DataFrame, keys: DataFrame) -> None:
         new = won.filter("sid is not null").select("sid").distinct()

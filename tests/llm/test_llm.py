@@ -281,15 +281,18 @@ def test_p2_ledger_is_the_replay(spark, tmp_path):
     assert last == {k for k in got if dict((x[0], x[1]) for x in rows)[k] == 3}
 
 
-def test_p2_ledger_reads_the_ranges_a_batch_touches(spark, tmp_path):
+def test_p2_ledger_reads_what_a_small_batch_needs(spark, tmp_path, monkeypatch):
     rows = [x for x in edit_pairs(31) if x[1] is not None]
     ledger = p2.Ledger(spark, str(tmp_path))
     ledger.load(spark.createDataFrame(rows, PAIR), catalog(spark))
-    whole = ledger._part("key")
-    kept = spark.read.schema("key long, sid long, bm long").parquet(f"{tmp_path}/keys")
-    one = kept.limit(1)
-    assert ledger.stored("keys", one).count() == kept.filter(whole == one.select(whole).first()[0]).count() < kept.count() / 4
-    assert ledger.stored("keys", one.limit(0)).count() == 0
+    kept = spark.read.parquet(f"{tmp_path}/keys")
+    some = kept.select("key").distinct().orderBy("key").limit(20)
+    near = ledger.stored("keys", some)
+    assert near.count() == kept.join(some, "key", "left_semi").count() < kept.count() / 4
+    assert "PushedFilters: [In(key, [" in near._jdf.queryExecution().executedPlan().toString()
+    assert ledger.stored("keys", some.limit(0)).count() == 0
+    monkeypatch.setattr(p2, "FEW", 5)
+    assert ledger.stored("keys", some).count() == kept.count()
 
 
 def test_p2_ledger_of_pool_images(spark, tmp_path):
