@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.reward import filter_score
 from millrace.operators import convert
 from millrace.operators.decontam import small
 
@@ -191,6 +192,7 @@ def intended(ops: Column, expected: Column) -> Column:
     return F.when(change != "", F.trim(F.concat(base, F.lit(" "), change))).otherwise(base)
 
 
+#: Fixed value: the prompt of rows that tell differences; those of the other rows stand in `understanding`.
 DIFF_PROMPT = "<image>\n<image>\nCompare the source image to the edited image. Return strict JSON with observed_changes, intended_changes_present, unintended_or_wrong_changes, and missing_changes."
 
 
@@ -294,7 +296,7 @@ def derived(tasks: DataFrame, level: str) -> dict[str, DataFrame]:
     item = lambda end, image, label, failure: F.struct(F.concat("task_id", F.lit(f"_verifier_{end}")).alias("item_id"), F.col(image).alias("candidate_image"), F.lit(label).alias("label"), failure.alias("failure_type"))
     both = F.array(item("pos", "teacher", "pass", F.lit(None).cast("string")), item("neg", "negative", "fail", F.col("failure_type")))
     image = lambda kind, c: F.struct(F.lit(kind).alias("render_type"), F.col(c).alias("image_path"))
-    base = F.greatest(F.lit(0.76), 0.96 - 0.025 * F.col(level))
+    base = filter_score(F.col(level))
     return {
         "renders": tasks.select("task_id", F.explode(F.array(image("teacher_render", "teacher"), image("negative_render", "negative"))).alias("x")).select("task_id", "x.*"),
         "verifier_items": tasks.select("task_id", "source_image", "instruction", F.explode(both).alias("x")).select("task_id", "source_image", "instruction", "x.*"),
