@@ -29,8 +29,8 @@ def filled(c: Column) -> Column:
 
 
 def last(df: DataFrame, order: str, key: str = "task_id") -> DataFrame:
-    """The last row of each key."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), order).alias("_r")).select(key, "_r.*")
+    """The last row of each key; rows without an order come before all others."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), F.struct(order)).alias("_r")).select(key, "_r.*")
 
 
 def is_complete(row: Column, fields: list[str] = COMPLETE) -> Column:

@@ -69,11 +69,12 @@ def sft_export(spark: SparkSession, d: str) -> DataFrame:
     s = _last_seeds(spark, d)
     labels = s.select("task_id", (~F.col("leaked") & F.col("instruction").isNotNull()).alias("accept_sft"))
     trajectories = s.filter("render_status is not null").select("task_id", F.struct(F.col("expected_target").alias("thought")).alias("trajectory"))
-    note = F.struct(F.col("expected_target").alias("target_scene_description"), F.col("expected_target").alias("analysis"), F.array(F.lit("edit")).alias("edit_operations"), F.col("instruction").alias("editor_prompt"))
+    prompt = F.concat(F.lit("Edit: "), "instruction")  # an annotation is complete by its target alone: a task may be told nothing
+    note = F.struct(F.col("expected_target").alias("target_scene_description"), F.col("expected_target").alias("analysis"), F.array(F.lit("edit")).alias("edit_operations"), prompt.alias("editor_prompt"))
     images = table(spark, d, POOL).select(F.col("image.path").alias("path"))
     rows = assemble.accepted(s.select("task_id", "source_image", "instruction"), labels, trajectories, s.select("task_id", note.alias("annotation")), images, require=True)
     answer = assemble.response(F.col("annotation.analysis"), F.struct(F.col("annotation.editor_prompt")))
-    return rows.select("task_id", convert.sharegpt(F.col("instruction"), answer)[0]["value"].alias("human"), F.substring_index(answer, "\n\n<edit_program>", 1).alias("analysis"))
+    return rows.select("task_id", convert.sharegpt(F.col("instruction"), answer)[0]["value"].alias("human"), F.regexp_extract(answer, r"(?s)^(.*)\n\n<edit_program>\n", 1).alias("analysis"))
 
 
 _OK = f"""r as (select * from (select *, row_number() over (partition by task_id order by ingested_at desc) as rn from {TASKS} where ok and refined is not null) where rn = 1)"""

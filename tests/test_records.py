@@ -1,11 +1,15 @@
 """Assembled records, reports and puzzles: nulls, empty tables, ties and repeated rows, clashing columns."""
 
+from datetime import datetime
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import reward as R
 from millrace.functions import text as T
 from millrace.operators import assemble, decontam, gates, sampling, solvers, summaries, validate
+from millrace.plans import catalog, records
 
 
 def rows(df):
@@ -30,6 +34,22 @@ def test_filled_and_last(spark):
     assert rows(assemble.last(df, "seq").select("task_id", "seq")) == [("a", 2), ("b", 1)]
 
 
+def test_sft_export_of_empty_texts(spark, tmp_path):
+    """Empty instructions, marks within texts and missing times of arrival are exported as by the SQL."""
+    cols = "task_id string, source_image string, instruction string, expected_target string, render_status string, sub_family string, license string, split string, ingested_at timestamp, leakage_tags struct<benchmark_text_exact_match:boolean>"
+    at, later, tags = datetime(2026, 1, 1), datetime(2026, 1, 2), (False,)
+    told = [("a", "do", "t", at), ("b", "", "t", at), ("c", " ", " ", at), ("d", None, "t", at), ("e", "do", "", at), ("f", "do", "x\n\n<edit_program>\ny", at), ("g", "", "t", None), ("h", "new", "t", later), ("h", "old", "t", at), ("h", "none", "t", None)]
+    seeds = [(k, "x.png", i, t, "ok", None, None, None, when, tags) for k, i, t, when in told] + [("i", "x.png", "do", "t", "ok", None, None, None, at, (True,)), ("j", "lost.png", "", "t", "ok", None, None, None, at, tags)]
+    spark.createDataFrame(seeds, cols).write.parquet(f"{tmp_path}/{records.SEEDS}.parquet")
+    spark.createDataFrame([(("x.png",),)], "image struct<path:string>").write.parquet(f"{tmp_path}/{records.POOL}.parquet")
+    con = duckdb.connect()
+    for t in (records.SEEDS, records.POOL):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = rows(catalog.queries()["sft_export"](spark, str(tmp_path)).select("task_id", "human", "analysis"))
+    assert got == sorted(con.execute(f"select task_id, human, analysis from ({catalog.oracle_sql()['sft_export']})").fetchall())
+    assert [r[0] for r in got] == ["a", "b", "c", "f", "g", "h"]
+
+
 def test_rewritten_messages(spark):
     kind = "array<struct<role:string,content:array<struct<type:string,path:string,text:string>>>>"
     text, image = lambda t: ("text", None, t), ("image", "a.png", None)
