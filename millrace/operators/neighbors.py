@@ -5,27 +5,82 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import text as T
+#: Candidates compared at once: what a task holds besides its group.
+COMPARED = 1 << 20
+
+
+def _near_hashes(most: int):
+    """Arrow batches of (part, h), sorted by part, to those of (h, g): each pair of hashes up to `most` bits apart once."""
+    import numpy as np
+    import pyarrow as pa
+
+    def near(part: int, v):
+        """Pairs of a group, whose hashes share the byte of `part`; their other byte of the band is looked up by it and all bytes one bit away."""
+        band, low = part >> 9, part >> 8 & 1
+        other = v >> np.uint64(48 - 16 * band + 8 * low) & np.uint64(255)
+        order = np.argsort(other, kind="stable")
+        v, other = v[order], other[order].astype(np.int64)
+        starts = np.searchsorted(other, np.arange(257))
+        for flip in ([] if low else [0]) + ([1 << i for i in range(8)] if band < most - 3 else []):
+            rows = np.flatnonzero(other & flip == 0)
+            to = other[rows] ^ flip
+            first = starts[to] if flip else rows + 1
+            count = starts[to + 1] - first
+            ends = np.cumsum(count)
+            at, done = 0, 0
+            while at < len(rows):
+                till = max(at + 1, int(np.searchsorted(ends, done + COMPARED, "right")))
+                n = count[at:till]
+                right = np.arange(done, ends[till - 1]) + np.repeat(first[at:till] - (ends[at:till] - n), n)
+                apart = np.repeat(v[rows[at:till]], n) ^ v[right]
+                hit = np.flatnonzero(np.bitwise_count(apart) <= most)
+                apart, g = apart[hit], v[right[hit]]
+                for b in range(band):  # found there already
+                    new = np.bitwise_count(apart >> np.uint64(48 - 16 * b) & np.uint64(65535)) > (b < most - 3)
+                    apart, g = apart[new], g[new]
+                if len(g):
+                    yield pa.RecordBatch.from_arrays([pa.array((apart ^ g).view(np.int64)), pa.array(g.view(np.int64))], names=["h", "g"])
+                at, done = till, int(ends[till - 1])
+
+    def run(batches):
+        part, held = None, []
+        for b in batches:
+            parts, v = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else []
+            for x, y in zip(edges, edges[1:], strict=False):
+                if parts[x] != part:
+                    if held:
+                        yield from near(part, np.concatenate(held))
+                    part, held = int(parts[x]), []
+                held.append(v[x:y].copy())
+        if held:
+            yield from near(part, np.concatenate(held))
+
+    return run
 
 
 def hamming_pairs(df: DataFrame, key: str, hash_col: str, most: int = 6) -> DataFrame:
     """(key_a, key_b, bits): all pairs of rows, key_a < key_b, whose 64-bit hashes differ in at most `most` <= 7 bits.
 
-    Four bands of 16 bits: one of them differs in one bit at most, so each hash is stored by its bands and looked up by
-    them and all bands one bit away; equal hashes are one in the search. Exact.
+    Four bands of 16 bits: of two such hashes one of the first most - 3 bands differs in one bit at most, or one of the
+    others in none, as else they were most + 1 bits apart. Bits that differ in one of two bytes leave the other as it
+    is, so distinct hashes are grouped by each byte of a band and compared in Arrow batches. Exact; each hash is
+    shuffled eight times at most, whatever the number of comparisons, which grows with its square. Joins are by
+    sorting, as plans estimate neither exploded rows nor pairs, and a broadcast of them takes all of the driver's memory.
     """
     if not 0 <= most <= 7:
         raise ValueError("four bands with one bit of difference reach 7 bits")
-    valid = df.filter(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$")).select(F.col(key).alias("k"), F.lower(hash_col).alias("h")).distinct()
-    one = valid.select("h").distinct()
-    bands = one.select("h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substr("h", i * 4 + 1, F.lit(4)), 16, 10).cast("int"))).alias("band", "v"))
-    masks = F.array(F.lit(0), *(F.lit(1 << i) for i in range(16)))
-    probes = bands.select(F.col("h").alias("g"), "band", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    met = bands.join(probes, ["band", "v"]).filter("h < g").select("h", "g", T.hamming(F.col("h"), F.col("g")).alias("bits")).filter(F.col("bits") <= most).distinct()
-    x, y = valid.select(F.col("k").alias("kx"), F.col("h")), valid.select(F.col("k").alias("ky"), F.col("h").alias("g"))
-    near = met.join(x, "h").join(y, "g").filter("kx <> ky").select(F.least("kx", "ky").alias(f"{key}_a"), F.greatest("kx", "ky").alias(f"{key}_b"), "bits")
-    same = x.join(y, (F.col("h") == F.col("g")) & (F.col("kx") < F.col("ky"))).select(F.col("kx").alias(f"{key}_a"), F.col("ky").alias(f"{key}_b"), F.lit(0).cast("int").alias("bits"))
-    return near.select(f"{key}_a", f"{key}_b", F.col("bits").cast("int").alias("bits")).unionByName(same)
+    half = lambda at: F.conv(F.substring(F.col(hash_col), at, 8), 16, 10).cast("bigint")
+    number = F.shiftleft(half(1), 32).bitwiseOR(half(9))
+    valid = df.filter(F.col(hash_col).rlike(r"^[0-9a-fA-F]{16}\z")).select(F.col(key).alias("k"), number.alias("h")).distinct()
+    byte = lambda band, low: F.lit(band * 512 + low * 256) + F.shiftrightunsigned("h", 56 - 16 * band - 8 * low).bitwiseAND(F.lit(255)).cast("int")
+    parts = [byte(band, low) for band in range(min(most, 3) + 1) for low in range(1 + (band < most - 3))]
+    grouped = valid.select("h").distinct().select(F.explode(F.array(*parts)).alias("part"), "h").repartition("part").sortWithinPartitions("part")
+    met = grouped.mapInArrow(_near_hashes(most), "h long, g long")
+    x, y = valid.select(F.col("k").alias("kx"), F.col("h")).hint("merge"), valid.select(F.col("k").alias("ky"), F.col("h").alias("g")).hint("merge")
+    near = met.join(x, "h").join(y, "g").filter("kx <> ky").select("kx", "ky", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).cast("int").alias("bits"))
+    same = x.join(y, (F.col("h") == F.col("g")) & (F.col("kx") < F.col("ky"))).select("kx", "ky", F.lit(0).cast("int").alias("bits"))
+    return near.unionByName(same).select(F.least("kx", "ky").alias(f"{key}_a"), F.greatest("kx", "ky").alias(f"{key}_b"), "bits")
 
 
 def cosine_neighbors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, least: float, block: int = 5000) -> DataFrame:

@@ -101,6 +101,19 @@ def test_hamming_pairs_is_brute_force(spark):
         neighbors.hamming_pairs(df, "i", "h", 8)
 
 
+def test_hamming_pairs_of_a_file_are_exact_without_broadcast(spark, tmp_path):
+    """Small files give many comparisons, which no broadcast may hold; hashes that share bytes, and a line end that is no digit."""
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(20)] + [rng.getrandbits(12) << at for at in (0, 16, 36, 52) for _ in range(15)]
+    hashes = base + [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for h in base for _ in range(3)]
+    spark.createDataFrame([*enumerate(f"{h:016x}" for h in hashes), (999, f"{hashes[0]:016x}\n")], "i int, h string").write.parquet(f"{tmp_path}/t.parquet")
+    df = spark.read.parquet(f"{tmp_path}/t.parquet")
+    apart = [(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in range(len(hashes)) for b in range(a + 1, len(hashes))]
+    for most in (0, 2, 3, 6, 7):
+        assert sorted(map(tuple, neighbors.hamming_pairs(df, "i", "h", most).collect())) == [x for x in apart if x[2] <= most]
+    assert "Broadcast" not in neighbors.hamming_pairs(df, "i", "h")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cosine_neighbors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0])], "i long, v array<float>")
     assert [(r[0], r[1]) for r in neighbors.cosine_neighbors(df, df, "i", "v", 0.9, block=2).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
